@@ -15,8 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from harbinger.functions.scalars import clip, event_label
+from harbinger.functions.scalars import clip, event_label, rainfall_proxy_score
 from harbinger.operators.horizon import build_long_table
 from harbinger.operators.keys import expand_to_months
 from harbinger.operators.panel import build_panel
@@ -24,8 +25,15 @@ from harbinger.plans.views import scored_panel
 from harbinger.functions.scalars import rainfall_proxy_score
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table; its schema is read from the footer once and then declared."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def entity_dimension(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,15 +136,18 @@ def _line_cube(spark: SparkSession, sf: str) -> DataFrame:
         F.year("ordered"), F.when(F.month("ordered") <= 6, 1).otherwise(7), F.lit(1)
     )
     orders = _orders_by_nation(spark, sf).select("o_orderkey", "c_nationkey", half.alias("half"))
+    month = F.trunc("shipped", "MM")
     cube = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("c_nationkey", "half", F.trunc("shipped", "MM").alias("ship_month"))
+        lines.where(F.year(month).isNotNull() & F.month(month).isNotNull())
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy("c_nationkey", "half", month.alias("ship_month"))
         .agg(
             F.sum("cents").alias("cents"), F.sum("units").alias("units"),
             F.sum("returned").alias("returned"), F.count(F.lit(1)).alias("lines"),
         )
     )
-    # Reading every measure in both feeds keeps their plans equal up to the exchange.
+    # Both feeds read every measure and drop undated lines, so their plans are equal up
+    # to the exchange and the second one reuses it.
     return cube.where(
         (F.col("units") > 0) & (F.col("cents") >= 0) & (F.col("returned") <= F.col("lines"))
     )
@@ -225,7 +236,7 @@ def scored_by_entity(spark: SparkSession, sf: str) -> DataFrame:
     return _named(joined.drop("c_custkey"), spark, sf, "c_nationkey")
 
 
-# columns that may stay NULL without dropping a row from the learning jobs
+# folds and years of the learning jobs, inside the driver tables' dates
 FOLDS = [
     ("val_1999", "1995-07-01", "1998-12-31", "1999-01-01", "1999-12-31", "validation"),
     ("test_2000", "1995-07-01", "1999-12-31", "2000-01-01", "2000-12-31", "test"),

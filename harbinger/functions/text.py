@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,73 +69,75 @@ def map_synonyms(c: Column, synonyms: dict[str, str]) -> Column:
     return F.coalesce(F.create_map(*pairs)[F.lower(F.trim(c))], c)
 
 
-def _missing(c: Column) -> Column:
-    return c.isNull() | F.isnan(c.cast("double"))
+def _known(c: Column) -> Column:
+    """The value as a double, NULL when missing."""
+    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
 def nearest_units(x: Column, decimals: int) -> Column:
-    """``|x| * 10**decimals`` rounded to a whole number, ties to even.
+    """``|x| * 10**decimals`` rounded to a whole number, ties to even; up to 2 decimals.
 
     Rounds the exact binary value, as C and Python do; the JVM formatter rounds the
     shortest decimal text instead, which moves values such as 37.65. The fraction
-    is scaled by 2**56 (exact), split into a whole part that multiplies without
-    overflow and the bits below it, and compared with one half.
+    is scaled by 2**56, which is exact, and the rest is whole-number arithmetic.
+    Small values, whose last bits lie below 2**-56, are scaled by 2**60 and keep a
+    sticky bit for what the shift drops.
     """
     scale = 10**decimals
-    size = F.abs(x.cast("double"))
-    whole = F.floor(size)
-    scaled = (size - whole) * F.lit(float(2**56))
-    units = F.floor(scaled)
-    product = units * F.lit(scale).cast("bigint")
-    quotient = F.shiftright(product, 56)
-    rest = F.lit(2**55).cast("bigint") - product.bitwiseAND(F.lit(2**56 - 1).cast("bigint"))
-    below = (scaled - units) * scale
-    odd = quotient.bitwiseAND(F.lit(1).cast("bigint")) == 1
-    up = (below > rest) | ((below == rest) & odd)
-    return whole * scale + quotient + F.when(up, 1).otherwise(0)
+
+    def big(n: int) -> Column:
+        return F.lit(n).cast("bigint")
+
+    size = F.abs(x)
+    fine = (size * float(2**60)).cast("bigint") * scale
+    sticky = F.when(fine.bitwiseAND(big(15)) != 0, big(1)).otherwise(big(0))
+    product = F.when(size < 0.0625, F.shiftright(fine, 4).bitwiseOR(sticky)).otherwise(
+        ((size % 1.0) * float(2**56)).cast("bigint") * scale
+    )
+    odd = F.shiftright(product, 56).bitwiseAND(big(1))
+    return size.cast("bigint") * scale + F.shiftright(product + (2**55 - 1) + odd, 56)
 
 
 def fixed_text(c: Column, decimals: int, plus: bool = False, grouped: bool = False) -> Column:
-    """Fixed-point text; ``plus`` signs every number, ``grouped`` adds thousands commas."""
-    scale = F.lit(10**decimals).cast("bigint")
-    units = nearest_units(c, decimals)
-    whole = F.call_function("div", units, scale)
-    part = F.lpad(F.pmod(units, scale).cast("string"), decimals, "0")
-    head = F.format_number(whole, 0) if grouped else whole.cast("string")
-    sign = F.when(c < 0, "-").otherwise("+" if plus else "")
-    return F.concat(sign, head, F.lit("."), part)
+    """Fixed-point text, NULL when missing; ``plus`` signs every number.
+
+    ``grouped`` adds thousands commas.
+    """
+    x = _known(c)
+    step = F.lit(Decimal(1).scaleb(-decimals))
+    number = nearest_units(x, decimals).cast("decimal(20,0)") * step
+    text = F.format_number(number, decimals) if grouped else number.cast("string")
+    return F.concat(F.when(x < 0, "-").otherwise("+" if plus else ""), text)
+
+
+def _plus_above_zero(c: Column) -> Column:
+    return F.when(c > 0, "+").otherwise("")
 
 
 def anomaly_text(c: Column, unit: str = "%") -> Column:
     """``+15.2%``; a plus sign only above zero; ``N/A`` when missing."""
-    sign = F.when(c > 0, "+").otherwise("")
-    return F.when(_missing(c), "N/A").otherwise(F.concat(sign, fixed_text(c, 1), F.lit(unit)))
+    text = F.concat(_plus_above_zero(c), fixed_text(c, 1), F.lit(unit))
+    return F.coalesce(text, F.lit("N/A"))
 
 
 def currency_text(c: Column, prefix: str = "KES ") -> Column:
-    return F.when(_missing(c), "N/A").otherwise(
-        F.concat(F.lit(prefix), fixed_text(c, 2, grouped=True))
-    )
+    return F.coalesce(F.concat(F.lit(prefix), fixed_text(c, 2, grouped=True)), F.lit("N/A"))
 
 
 def zscore_text(c: Column) -> Column:
-    sign = F.when(c > 0, "+").otherwise("")
-    return F.when(_missing(c), "N/A").otherwise(F.concat(sign, fixed_text(c, 2), F.lit(" σ")))
+    text = F.concat(_plus_above_zero(c), fixed_text(c, 2), F.lit(" σ"))
+    return F.coalesce(text, F.lit("N/A"))
 
 
 def percent_text(p: Column, missing: str = "N/A") -> Column:
     """Probability as ``37.8%``."""
-    return F.when(_missing(p), missing).otherwise(
-        F.concat(fixed_text(p.cast("double") * 100, 1), F.lit("%"))
-    )
+    return F.coalesce(F.concat(fixed_text(p.cast("double") * 100, 1), F.lit("%")), F.lit(missing))
 
 
 def signed_text(c: Column, decimals: int, suffix: str) -> Column:
     """Always-signed number (``+0.0%``), ``N/A`` when missing."""
-    return F.when(_missing(c), "N/A").otherwise(
-        F.concat(fixed_text(c, decimals, plus=True), F.lit(suffix))
-    )
+    return F.coalesce(F.concat(fixed_text(c, decimals, plus=True), F.lit(suffix)), F.lit("N/A"))
 
 
 def integer_text(c: Column) -> Column:
-    return F.when(_missing(c), "N/A").otherwise(c.cast("int").cast("string"))
+    return F.coalesce(_known(c).cast("int").cast("string"), F.lit("N/A"))
