@@ -3,7 +3,6 @@ import math
 
 import pytest
 from conftest import rows
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from harbinger import fixed_values as V
@@ -203,10 +202,3 @@ def test_dimension_rules(spark, dim):
     extra = dim.limit(1).withColumn("centroid_lat", F.lit(60.0)).withColumn("asal_category", F.lit("Wet"))
     got = {r["rule"]: r["n_bad"] for r in Q.dimension_check(dim.unionByName(extra), dim).collect()}
     assert got["outside_latitude"] == 1 and got["unknown_category"] == 1 and got["repeated_code"] == 2
-
-
-def test_raise_error_is_lazy_and_loud(spark, dim):
-    long = H.build_long_table(P.build_panel(*[feeds(spark, 6)] * 4), dim)
-    assert long.where("target_date <= observation_date").count() == 0
-    with pytest.raises(PySparkException):
-        spark.range(1).select(F.raise_error(F.lit("x"))).collect()
