@@ -178,16 +178,16 @@ COUNTS = "counts AS (SELECT p, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS
 @query(
     "metrics_at_threshold",
     f"""WITH {O.SCORED}, {COUNTS}, c AS (SELECT {CONFUSION.format(t="0.35::DOUBLE")} FROM scored)
-    SELECT 0.35::DOUBLE AS threshold, n, {RATES}, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) AS false_positive_rate,
-      round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc, round(brier, 6) AS brier_score,
+    SELECT 0.35::DOUBLE AS threshold, n, {RATES.replace(", 6)", ", 9)")}, round(coalesce(fp / nullif(fp + tn, 0), 0), 9) AS false_positive_rate,
+      round(roc_auc, 9) AS roc_auc, round(pr_auc, 9) AS pr_auc, round(brier, 9) AS brier_score,
       tp AS true_positives, fn AS false_negatives, tn AS true_negatives, fp AS false_positives,
-      'Recall is ' || printf('%.1f', round(tp / (tp + fn), 6) * 100) || '%. Out of ' || (tp + fn) || ' true Crisis periods, '
+      'Recall is ' || printf('%.1f', tp / (tp + fn) * 100) || '%. Out of ' || (tp + fn) || ' true Crisis periods, '
         || 'the model correctly flagged ' || tp || ' and missed ' || fn || ' (False Negative Rate: '
-        || printf('%.1f', round(fn / (tp + fn), 6) * 100) || '%).' AS commentary
+        || printf('%.1f', fn / (tp + fn) * 100) || '%).' AS commentary
     FROM c, {areas("", "counts")}""",
 )
 def metrics_query(spark, sf):
-    out = M.recall_sentence(M.full_metrics(S.scored_orders(spark, sf), threshold=0.35, decimals=6))
+    out = M.recall_sentence(M.full_metrics(S.scored_orders(spark, sf), threshold=0.35, decimals=9))
     return out.drop("confusion_matrix")
 
 
@@ -196,12 +196,12 @@ def metrics_query(spark, sf):
     f"""WITH {O.SCORED_BY_ENTITY},
     counts AS (SELECT county_name, p, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM by_entity GROUP BY 1, 2),
     c AS (SELECT county_name, {CONFUSION.format(t="0.5")} FROM by_entity GROUP BY 1)
-    SELECT c.county_name, n, {RATES}, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc,
-      round(brier, 6) AS brier_score
+    SELECT c.county_name, n, {RATES.replace(", 6)", ", 9)")}, round(roc_auc, 9) AS roc_auc, round(pr_auc, 9) AS pr_auc,
+      round(brier, 9) AS brier_score
     FROM c JOIN {areas("county_name", "counts")} a ON a.county_name = c.county_name""",
 )
 def grouped_metrics_query(spark, sf):
-    out = M.full_metrics(S.scored_by_entity(spark, sf), ["county_name"], decimals=6)
+    out = M.full_metrics(S.scored_by_entity(spark, sf), ["county_name"], decimals=9)
     return out.select(
         "county_name", "n", "precision", "recall", "f1_score", "false_negative_rate", "roc_auc", "pr_auc",
         "brier_score",
@@ -239,10 +239,10 @@ def best_threshold_query(spark, sf):
     "reliability_curve",
     f"""WITH {O.SCORED} SELECT CAST((p > 1 * 0.2::DOUBLE)::INT + (p > 2 * 0.2::DOUBLE)::INT
       + (p > 3 * 0.2::DOUBLE)::INT + (p > 4 * 0.2::DOUBLE)::INT AS INTEGER) AS bin, count(*) AS n,
-      round(avg(y), 6) AS prob_true, round(avg(p), 6) AS prob_pred FROM scored GROUP BY 1""",
+      round(avg(y), 9) AS prob_true, round(avg(p), 9) AS prob_pred FROM scored GROUP BY 1""",
 )
 def reliability_query(spark, sf):
-    return r6(M.reliability_curve(S.scored_orders(spark, sf)))
+    return r6(M.reliability_curve(S.scored_orders(spark, sf)), 9)
 
 
 @query("roc_auc", f"WITH {O.SCORED}, {COUNTS} SELECT round(roc_auc, 8) AS roc_auc FROM {areas('', 'counts')}")
@@ -257,9 +257,9 @@ def precision_query(spark, sf):
     return r6(M.ranking_areas(counts).select("pr_auc"), 8)
 
 
-@query("brier", f"WITH {O.SCORED} SELECT count(*) AS n, round(avg((p - y) * (p - y)), 8) AS brier_score FROM scored")
+@query("brier", f"WITH {O.SCORED} SELECT count(*) AS n, round(avg((p - y) * (p - y)), 9) AS brier_score FROM scored")
 def brier_query(spark, sf):
-    return r6(M.confusion(S.scored_orders(spark, sf)).select("n", "brier_score"), 8)
+    return r6(M.confusion(S.scored_orders(spark, sf)).select("n", "brier_score"), 9)
 
 
 @query(
@@ -277,14 +277,14 @@ def curve_query(spark, sf):
     "entity_performance",
     f"""WITH {O.SCORED_BY_ENTITY}, c AS (SELECT county_name, avg(p) AS mp, {CONFUSION.format(t="0.5")} FROM by_entity GROUP BY 1)
     SELECT county_name, n AS test_observations, tp + fn AS positive_events,
-      round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
-      round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision,
-      round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1_score, round(brier, 6) AS brier_score,
-      round(1 - coalesce(tp / nullif(tp + fn, 0), 0), 6) AS false_negative_rate,
-      round(mp, 6) AS mean_predicted_probability FROM c""",
+      round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall,
+      round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision,
+      round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1_score, round(brier, 9) AS brier_score,
+      round(1 - coalesce(tp / nullif(tp + fn, 0), 0), 9) AS false_negative_rate,
+      round(mp, 9) AS mean_predicted_probability FROM c""",
 )
 def entity_query(spark, sf):
-    return M.entity_performance(S.scored_by_entity(spark, sf), decimals=6)
+    return M.entity_performance(S.scored_by_entity(spark, sf), decimals=9)
 
 
 @query(
@@ -324,13 +324,13 @@ BOOT_N, BOOT_SEED = 100, 42
       1 - coalesce(tp / nullif(tp + fn, 0), 0) AS false_negative_rate
       FROM tab JOIN {areas("replicate", "counts")} a ON a.replicate = tab.replicate),
     l AS (UNPIVOT ms ON recall, precision, f1, roc_auc, pr_auc, brier_score, false_negative_rate INTO NAME metric VALUE v)
-    SELECT metric, round(max(v) FILTER (replicate = 0), 6) AS estimate,
-      round(quantile_cont(v, 0.025::DOUBLE) FILTER (replicate > 0), 6) AS ci_lower,
-      round(quantile_cont(v, 0.975::DOUBLE) FILTER (replicate > 0), 6) AS ci_upper,
-      round(stddev_pop(v) FILTER (replicate > 0), 6) AS std FROM l GROUP BY 1""",
+    SELECT metric, round(max(v) FILTER (replicate = 0), 9) AS estimate,
+      round(quantile_cont(v, 0.025::DOUBLE) FILTER (replicate > 0), 9) AS ci_lower,
+      round(quantile_cont(v, 0.975::DOUBLE) FILTER (replicate > 0), 9) AS ci_upper,
+      round(stddev_pop(v) FILTER (replicate > 0), 9) AS std FROM l GROUP BY 1""",
 )
 def bootstrap_query(spark, sf):
-    return block_bootstrap(S.scored_orders(spark, sf), "block", BOOT_N, BOOT_SEED, decimals=6)
+    return block_bootstrap(S.scored_orders(spark, sf), "block", BOOT_N, BOOT_SEED, decimals=9)
 
 
 @query(

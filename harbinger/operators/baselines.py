@@ -22,9 +22,7 @@ def event_rates(train: DataFrame, label: str = "target_phase3plus") -> DataFrame
 
     ``level`` says which keys count: ``entity_month``, ``entity``, ``month``, ``all``.
     """
-    rows = train.groupBy("county_name", "month").agg(
-        F.sum(F.col(label).cast("double")).alias("s"), F.count(label).alias("n")
-    )
+    rows = _counts(train, label)
     level = (
         F.when(F.grouping_id() == 0, "entity_month")
         .when(F.grouping_id() == 1, "entity")
@@ -36,9 +34,19 @@ def event_rates(train: DataFrame, label: str = "target_phase3plus") -> DataFrame
     ).agg(level.alias("level"), (F.sum("s") / F.sum("n")).alias("rate"), F.sum("n").alias("n"))
 
 
-def _overall(train: DataFrame, label: str):
-    rate = train.agg(F.coalesce(F.avg(F.col(label).cast("double")), F.lit(0.5)).alias("rate"))
-    return rate.scalar()
+def _counts(train: DataFrame, label: str) -> DataFrame:
+    """Events and rows per (entity, month): the one pass over training.
+
+    Every rate below sums this table, and reads both of its measures, so the pass is
+    planned once and its exchange reused.
+    """
+    return train.groupBy("county_name", "month").agg(
+        F.sum(F.col(label).cast("double")).alias("s"), F.count(label).alias("n")
+    ).where((F.col("n") > 0) & (F.col("s") >= 0))
+
+
+def _rate():
+    return F.sum("s") / F.sum("n")
 
 
 def historical_frequency(
@@ -48,10 +56,11 @@ def historical_frequency(
 
     ``use_entity=False`` drops the key, as a fit on feature columns alone would.
     """
-    overall = _overall(train, label)
+    counts = _counts(train, label)
+    overall = counts.agg(F.coalesce(_rate(), F.lit(0.5)).alias("rate")).scalar()
     if not use_entity:
         return df.withColumn("p", clip(overall, LOW, HIGH))
-    by_entity = train.groupBy("county_name").agg(F.avg(F.col(label).cast("double")).alias("_rate"))
+    by_entity = counts.groupBy("county_name").agg(_rate().alias("_rate"))
     joined = df.join(by_entity, "county_name", "left")
     return joined.select(
         *df.columns, clip(F.coalesce("_rate", overall), LOW, HIGH).alias("p")
@@ -62,13 +71,13 @@ def seasonal_rate(
     train: DataFrame, df: DataFrame, label: str = "target_phase3plus", use_entity: bool = True
 ) -> DataFrame:
     """Event rate by (entity, month), else by month, else overall."""
-    overall = _overall(train, label)
-    y = F.avg(F.col(label).cast("double"))
-    by_month = train.groupBy("month").agg(y.alias("_by_month"))
+    counts = _counts(train, label)
+    overall = counts.agg(F.coalesce(_rate(), F.lit(0.5)).alias("rate")).scalar()
+    by_month = counts.groupBy("month").agg(_rate().alias("_by_month"))
     joined = df.join(by_month, "month", "left")
     best = [F.col("_by_month"), overall]
     if use_entity:
-        both = train.groupBy("county_name", "month").agg(y.alias("_by_both"))
+        both = counts.select("county_name", "month", (F.col("s") / F.col("n")).alias("_by_both"))
         joined = joined.join(both, ["county_name", "month"], "left")
         best.insert(0, F.col("_by_both"))
     return joined.select(*df.columns, clip(F.coalesce(*best), LOW, HIGH).alias("p"))

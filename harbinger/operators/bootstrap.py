@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harbinger.operators.metrics import ranking_areas, rates, score_counts
+from harbinger.operators.metrics import ranked_metrics, rates, score_counts
 
 METRICS = [
     "recall", "precision", "f1", "roc_auc", "pr_auc", "brier_score", "false_negative_rate",
@@ -69,23 +69,8 @@ def replicate_metrics(
             F.sum(F.col("times") * F.col("neg")).alias("neg"),
         )
     )
-    hit, size = F.col("p") >= threshold, F.col("pos") + F.col("neg")
-    table = (
-        counts.where(size > 0)
-        .groupBy("replicate")
-        .agg(
-            F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
-            F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
-            F.sum(F.when(hit, 0).otherwise(F.col("pos"))).alias("fn"),
-            F.sum(F.when(hit, 0).otherwise(F.col("neg"))).alias("tn"),
-            (
-                F.sum(F.col("pos") * F.pow(F.col("p") - 1, 2) + F.col("neg") * F.pow("p", F.lit(2)))
-                / F.sum(size)
-            ).alias("brier_score"),
-        )
-    )
     r = rates()
-    return table.join(ranking_areas(counts, ["replicate"]), "replicate").select(
+    return ranked_metrics(counts, ["replicate"], threshold).select(
         "replicate",
         r["recall"].alias("recall"),
         r["precision"].alias("precision"),

@@ -28,14 +28,19 @@ CANDIDATES = ("logistic_regression", "random_forest", "boosting")
 def settle(df: DataFrame) -> DataFrame:
     """Materialise a frame that several fits read, and end its lineage.
 
-    Uses the checkpoint folder of the cluster. A local session without one gets a
-    temporary folder; a cluster without one keeps the frame in its block storage.
+    Uses the shared folder the session names in ``spark.checkpoint.dir``. A local
+    session without one gets a temporary folder; a cluster without one keeps the
+    frame in block storage, with its lineage, so lost blocks are computed again.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            return df.persist()
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="harbinger-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                return df.persist()
+            folder = tempfile.mkdtemp(prefix="harbinger-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 

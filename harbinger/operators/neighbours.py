@@ -149,7 +149,7 @@ def planar_km(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 
 def nearest_edges(
-    sites: DataFrame, k: int = 2, levels: int = 10, origins: DataFrame | None = None
+    sites: DataFrame, k: int = 2, levels: int = 20, origins: DataFrame | None = None
 ) -> DataFrame:
     """The ``k`` nearest other sites of every site, exactly, by grid equi-joins.
 
@@ -159,6 +159,11 @@ def nearest_edges(
     level is sure to contain all k nearest and only those sites are compared. Level
     0 is one cell over everything, so every site finds a level; nothing is capped.
 
+    A dense cluster settles on fine cells, so its members see each other only nearby;
+    at the level a sparse site settles on, only the few sites within three cells of a
+    cluster have it among their candidates. ``levels`` sets the finest cell: with 20
+    it is the extent divided by 524,288.
+
     Sites at the same spot are collapsed to the ``k + 1`` smallest names, which is
     all any ranking by (distance, name) can ever use, and spread out again at the
     end. ``sites`` has ``(name, x, y)``; ``origins`` limits the sources by ``name``.
@@ -262,7 +267,7 @@ def distance_table(sites: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def effective_edges(
-    active: DataFrame, contiguity: DataFrame, sites: DataFrame, k: int = 2, levels: int = 10
+    active: DataFrame, contiguity: DataFrame, sites: DataFrame, k: int = 2, levels: int = 20
 ) -> DataFrame:
     """Contiguity edges among the active entities; nearest sites for those without any."""
     names = active.select(F.col("county_name").alias("name")).distinct()

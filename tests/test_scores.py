@@ -191,3 +191,10 @@ def test_stability(spark):
     assert by["previous_ipc_phase"]["mean_rank"] == 1.0
     assert by["previous_ipc_phase"]["stability_category"] == "Consistently Important"
     assert by["rain"]["rank_h3"] == 99 and by["rain"]["stability_category"] == "Horizon-Dependent"
+
+
+def test_a_null_group_is_kept(spark):
+    data = [(None, 1, 0.9), (None, 0, 0.1), ("g", 1, 0.2), ("g", 0, 0.6)]
+    df = spark.createDataFrame(data, "g string, y int, p double")
+    got = {r["g"]: r["roc_auc"] for r in M.full_metrics(df, ["g"]).collect()}
+    assert got == {None: 1.0, "g": 0.0}
