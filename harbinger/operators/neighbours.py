@@ -153,7 +153,7 @@ def nearest_edges(
 ) -> DataFrame:
     """The ``k`` nearest other sites of every site, exactly, by grid equi-joins.
 
-    Space is cut into square cells of halving size. A site uses the finest level
+    Space is cut into square cells, each level a quarter as wide. A site uses the finest level
     whose 3x3 block of cells around it holds more than ``k`` sites: its k-th
     neighbour is then at most ``2 * sqrt(2)`` cells away, so the 7x7 block at that
     level is sure to contain all k nearest and only those sites are compared. Level
@@ -161,8 +161,9 @@ def nearest_edges(
 
     A dense cluster settles on fine cells, so its members see each other only nearby;
     at the level a sparse site settles on, only the few sites within three cells of a
-    cluster have it among their candidates. ``levels`` sets the finest cell: with 20
-    it is the extent divided by 524,288.
+    cluster have it among their candidates. Work therefore grows with the number of
+    sites, not its square. ``levels`` sets the finest cell: with 20 it is 2**-38 of the
+    extent, near the resolution of the coordinates.
 
     Sites at the same spot are collapsed to the ``k + 1`` smallest names, which is
     all any ranking by (distance, name) can ever use, and spread out again at the
@@ -188,7 +189,7 @@ def nearest_edges(
     gridded = (
         spots.withColumn("_box", box)
         .withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-        .withColumn("_cell", F.col("_box.size") / F.pow(F.lit(2.0), F.col("level")))
+        .withColumn("_cell", F.col("_box.size") / F.pow(F.lit(4.0), F.col("level")))
         .select(
             "x", "y", "names", "level",
             F.floor((F.col("x") - F.col("_box.x")) / F.col("_cell")).alias("cx"),
