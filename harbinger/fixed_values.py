@@ -133,28 +133,28 @@ SOURCES = [
     ("rainfall_chirps", "CHIRPS Monthly Precipitation",
      "UCSB Climate Hazards Center / USGS FEWS NET",
      "https://data.chc.ucsb.edu/products/CHIRPS-2.0/africa_monthly/tifs/",
-     "monthly", 45, "data/raw/climate", "kenya_asal_monthly_rainfall.csv",
+     "monthly", 45, "raw/climate", "monthly_rainfall.csv",
      ["county_name", "year", "month", "rainfall_mm", "rainfall_anomaly"]),
     ("vegetation_modis", "MODIS Vegetation Indices (NDVI)",
      "NASA LP DAAC / USGS",
      "https://lpdaac.usgs.gov/products/mod13a2v061/",
-     "16-day", 40, "data/raw/vegetation", "kenya_asal_monthly_ndvi.csv",
+     "16-day", 40, "raw/vegetation", "monthly_ndvi.csv",
      ["county_name", "year", "month", "ndvi_mean", "ndvi_anomaly"]),
     ("market_prices", "Kenya Staple Food Wholesale Prices",
      "KNBS / WFP VAM / Humanitarian Data Exchange",
      "https://data.humdata.org/dataset/wfp-food-prices-for-kenya",
-     "monthly", 60, "data/raw/market", "kenya_asal_maize_prices.csv",
+     "monthly", 60, "raw/market", "maize_prices.csv",
      ["county_name", "year", "month", "commodity", "price"]),
     ("ipc_food_security", "IPC Acute Food Insecurity Classifications",
      "Kenya Food Security Steering Group (KFSSG) / IPC GSU",
      "https://www.ipcinfo.org/ipc-country-analysis/details-page/en/c/kenya",
-     "biannual", 180, "data/raw/ipc", "kenya_asal_ipc_historical.csv",
+     "biannual", 180, "raw/ipc", "assessments.csv",
      ["county_name", "period_start", "period_end", "ipc_phase",
       "phase3plus_population", "phase3plus_percent"]),
     ("county_boundaries", "Kenya County Administrative Boundaries",
      "IEBC / Kenya National Bureau of Statistics",
      "https://data.humdata.org/dataset/cod-ab-ken",
-     "static", 365, "data/geospatial", "kenya_counties.geojson", []),
+     "static", 365, "raw/geospatial", "boundaries.geojson", []),
 ]
 
 # Staple commodity synonyms, price unit and currency

@@ -28,10 +28,11 @@ STEPS = ("all", "ingest", "validate", "features")
 
 @dataclass
 class Ingested:
-    """Normalised feeds, their manifest records, and what went wrong per source."""
+    """Normalised feeds, manifest records, unmatched names and failures per source."""
 
     feeds: dict[str, DataFrame] = field(default_factory=dict)
     records: dict[str, DataFrame] = field(default_factory=dict)
+    unmatched: dict[str, int] = field(default_factory=dict)
     failures: dict[str, str] = field(default_factory=dict)
 
 
@@ -43,7 +44,8 @@ def ingest_sources(
     out = Ingested()
     for key, folder in folders.items():
         try:
-            data, record = ingest(spark, key, folder, dim, as_of, retrieved_at)
+            data, record, coverage = ingest(spark, key, folder, dim, as_of, retrieved_at)
+            unmatched = coverage.first()["unmatched_count"]
             if manifest is not None:
                 append_manifest(record, manifest)
         except (FileNotFoundError, SchemaDrift, PySparkException) as err:
@@ -51,6 +53,8 @@ def ingest_sources(
             continue
         out.feeds[FEED_OF_SOURCE[key]] = data
         out.records[key] = record
+        if unmatched:
+            out.unmatched[key] = unmatched
     return out
 
 
@@ -99,12 +103,13 @@ def run_build(
     status = "success" if not got.failures else "partial_failure"
     row = (
         retrieved_at, step, dry_run, sorted(wanted), sorted(set(wanted) - set(got.failures)),
-        sorted(f"{k}: {v}" for k, v in got.failures.items()), panel_rows, long_rows, broken, status,
+        sorted(f"{k}: {v}" for k, v in got.failures.items()),
+        sorted(f"{k}: {v}" for k, v in got.unmatched.items()), panel_rows, long_rows, broken, status,
     )
     log = spark.createDataFrame(
         [row],
         "started string, step string, dry_run boolean, attempted array<string>, succeeded array<string>, "
-        "failed array<string>, panel_rows bigint, long_rows bigint, broken_rules bigint, status string",
+        "failed array<string>, unmatched array<string>, panel_rows bigint, long_rows bigint, broken_rules bigint, status string",
     )
     write_report(log, f"{out}/runs")
     return log

@@ -63,8 +63,8 @@ def with_staleness(df: DataFrame, registry: DataFrame, as_of) -> DataFrame:
 def ingest(
     spark: SparkSession, source_key: str, folder: str, dim: DataFrame, as_of: str,
     retrieved_at: str, default: str | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Fetch, check, audit and normalise one source; returns (data, manifest record).
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fetch, check, audit and normalise one source: (data, manifest record, coverage).
 
     Nothing is written: :func:`append_manifest` stores the record.
     """
@@ -105,7 +105,7 @@ def ingest(
         ((days > row[5]) | F.lit(status == "stale_fallback")).alias("is_stale"),
         F.lit(None).cast("string").alias("error_message"),
     )
-    return data, record
+    return data, record, coverage
 
 
 def append_manifest(record: DataFrame, path: str) -> None:

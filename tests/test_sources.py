@@ -214,4 +214,11 @@ def test_one_broken_source_does_not_stop_the_rest(spark, tmp_path, dim):
     put(tmp_path / "raw" / "market" / V.SOURCES[2][7], "county_name,year\nTurkana,2019\n")
     log = run_build(spark, folders, str(tmp_path / "out"), dim, "2021-03-01", "2021-03-01 10:00:00").first()
     assert log["status"] == "partial_failure" and log["failed"][0].startswith("market_prices")
-    assert log["panel_rows"] is None and len(log["succeeded"]) == 3
+    assert log["panel_rows"] is None and len(log["succeeded"]) == 3 and log["unmatched"] == []
+
+
+def test_unmatched_names_are_reported(spark, tmp_path, dim):
+    folders = feed_files(tmp_path / "raw")
+    put(tmp_path / "raw" / "climate" / V.SOURCES[0][7], "county_name,year,month,rainfall_mm,rainfall_anomaly\nOz,2019,1,1,1\n")
+    log = run_build(spark, folders, str(tmp_path / "out"), dim, "2021-03-01", "2021-03-01 10:00:00", step="ingest").first()
+    assert log["unmatched"] == ["rainfall_chirps: 1"] and log["status"] == "success"
