@@ -97,10 +97,16 @@ def fit_classifier(
     train: DataFrame, name: str, features: Sequence[str], label: str = LABEL, impute: str = "zero",
     seed: int = 42, max_iter: int = 100,
 ) -> PipelineModel:
+    """Fit one candidate.
+
+    Tree bagging draws by row position, and a shuffle delivers rows in any order, so
+    the rows of each partition are put in an order that depends on their values only.
+    """
     stages, _, _ = _inputs(features, impute, scale=name == "logistic_regression")
     weighted = with_balanced_weight(numeric(train, features, impute), label)
+    ordered = weighted.sortWithinPartitions(F.xxhash64(*features, label), *features)
     estimator = classifier(name, train.count(), label, seed, max_iter)
-    return Pipeline(stages=[*stages, estimator]).fit(weighted)
+    return Pipeline(stages=[*stages, estimator]).fit(ordered)
 
 
 def probability(column: str = "probability") -> Column:
