@@ -110,33 +110,36 @@ def with_hits(df: DataFrame, column: str, bitmap: DataFrame, bits: int = FILTER_
     )
 
 
+ROWS_PER_FILE = 500_000
+
+
+def settle_small(df: DataFrame) -> DataFrame:
+    """Settle a frame of narrow rows in as many files as its rows need, after a count."""
+    kept = settle(df)
+    return kept.coalesce(max(1, -(-kept.count() // ROWS_PER_FILE)))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the smallest node reachable, for every node that has an edge.
 
     Alternating large and small stars: edges are only re-hung, never multiplied, each
     round is two aggregations with map-side combine, and a node with very many edges is
-    met by joins that adaptive execution can split.
+    met by joins that adaptive execution can split. It ends when every tree is a star.
     """
     lo, hi = F.least(a, b), F.greatest(a, b)
-    now = settle(edges.where(F.col(a) != F.col(b)).select(hi.alias("u"), lo.alias("v")).distinct())
-    if now.isEmpty():
-        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    mark = None
+    now = settle_small(edges.where(F.col(a) != F.col(b)).select(hi.alias("u"), lo.alias("v")).distinct())
     while True:
+        ends = now.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.union(now.select("v", F.lit(0), F.lit(1))).groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.where("up > 1 or (up > 0 and down > 0)").isEmpty():
+            break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = settle(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        # a star forest keeps every edge under both steps
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
-        if seen == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                now.select("v", "v").distinct()
-            )
-        mark = seen
+        now = settle_small(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
 
 
 def clean_columns(df: DataFrame, *names: str) -> list[Column]:

@@ -36,6 +36,7 @@ from harbinger.llm.common import (
     long_lists,
     mix,
     settle,
+    settle_small,
     shingle_set,
     texts,
     with_hits,
@@ -323,8 +324,7 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     met = shared.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("n"))
     best = met.groupBy("node").agg(F.max(F.struct("n", (-F.col("lead")).alias("l"))).alias("m"))
     stars = best.select(F.col("node").alias("a"), (-F.col("m.l")).alias("b"))
-    links = settle(_verify(stars, sets, percent))
-    first = components(links, "a", "b")
+    first = components(_verify(stars, sets, percent), "a", "b")
 
     comp = F.coalesce("root", "node")
     mine = shared.join(first, "node", "left").select("key", "node", comp.alias("comp"))
@@ -333,10 +333,10 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     hints = components(_cluster_edges(rows.select("key", "comp", "sketch"), percent), "a", "b")
     clusters = hints.select(F.col("node").alias("comp"), F.col("root").alias("cluster"))
     inside = sets.select("node").join(first, "node", "left").select("node", comp.alias("comp")).join(clusters, "comp")
-    pairs = _block_pairs(settle(inside))
+    pairs = _block_pairs(settle_small(inside))
     more = _compare_blocks(pairs.join(sets, "node"), percent)
 
-    last = components(links.union(more), "a", "b")
+    last = components(first.select("node", "root").union(more), "node", "root")
     ids = classes.select("set_key", "node").join(last, "node", "left").select("set_key", comp.alias("component_id"))
     out = signed.join(ids, "set_key", "left")
     alone = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
