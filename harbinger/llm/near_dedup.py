@@ -357,8 +357,8 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     linked = link_documents(docs, k, percent).where(F.col("doc_id").isNotNull())
     per = linked.groupBy("doc_id").agg(F.bool_and("kept").alias("_kept"), F.count("*").alias("_n"))
     odd = settle(per.where("not _kept or _n > 1").withColumn("_id", F.col("doc_id")).select("_id", "_kept"))
-    names = docs.columns
-    marked = with_hits(docs.withColumn("_id", F.col("doc_id").cast("long")), "_id", hit_filter(odd, "_id"))
-    free = marked.where("not _hit or _id is null").select(*[f"`{c}`" for c in names])
+    body = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    marked = with_hits(body, "_id", hit_filter(odd, "_id"))
+    free = marked.where("not _hit or _id is null").select("_row.*")
     met = marked.where("_hit and _id is not null").join(odd, "_id", "left").where("coalesce(_kept, true)")
-    return free.union(met.dropDuplicates(["_id"]).select(*[f"`{c}`" for c in names]))
+    return free.union(met.dropDuplicates(["_id"]).select("_row.*"))

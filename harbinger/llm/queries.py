@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harbinger.llm import decontaminate, near_dedup, toxicity
+from harbinger.llm import decontaminate, near_dedup, packing, secrets, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test items found in documents, verified."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base secrets and linked weak parts of every document."""
+    return secrets.secret_digest(table(spark, sf_dir, "documents"))
+
+
+@register
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document placed in training sequences of four lengths."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
