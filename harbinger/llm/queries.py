@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harbinger.llm import decontaminate, near_dedup, packing, secrets, toxicity
+from harbinger.llm import decontaminate, langid, licenses, near_dedup, packing, repetition, secrets, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,24 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document placed in training sequences of four lengths."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@register
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return langid.language_ids(table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition measures and verdict of every document."""
+    return repetition.repetition(table(spark, sf_dir, "documents"))
+
+
+@register
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License sentences, rules and licenses of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_license_scans"] = licenses.scan_sql()
