@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harbinger.llm import decontaminate, langid, licenses, near_dedup, packing, repetition, secrets, toxicity
+from harbinger.llm import cotraining, decontaminate, langid, licenses, near_dedup, packing, repetition, secrets, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,9 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_license_scans"] = licenses.scan_sql()
+
+
+@register
+def op9_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Co-trained quality scores of every document."""
+    return cotraining.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
