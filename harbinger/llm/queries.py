@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harbinger.llm import cotraining, decontaminate, langid, licenses, near_dedup, packing, repetition, secrets, toxicity
+from harbinger.llm import cotraining, decontaminate, langid, licenses, near_dedup, packing, pii, repetition, secrets, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,14 @@ ORACLES["op4_license_scans"] = licenses.scan_sql()
 def op9_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Co-trained quality scores of every document."""
     return cotraining.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# a documented key of the registered query; a real run names its own secret
+SURROGATE_KEY = b"registered query"
+
+
+@register
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data replaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, SURROGATE_KEY)
