@@ -124,11 +124,12 @@ def _table(counts: DataFrame, langs: list[str], most: int) -> dict[str, np.ndarr
     """Smoothed log frequencies of the ``most`` frequent entries; ties go by name."""
     each = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"c{i}") for i, lang in enumerate(langs)]
     wide = settle(counts.groupBy("word").agg(F.sum("n").alias("n"), *each))
-    total = wide.agg(F.count("*"), *[F.sum(f"c{i}") for i in range(len(langs))]).first()
+    total = wide.agg(*[F.sum(f"c{i}") for i in range(len(langs))]).first()
     top = wide.orderBy(F.desc("n"), "word").limit(most).toPandas()
     c = top[[f"c{i}" for i in range(len(langs))]].to_numpy(float)
-    size = np.array([float(v or 0) for v in total[1:]]) + SMOOTH * (total[0] or 1)
-    logs = np.log((c + SMOOTH) / size).astype(np.float32)
+    size = np.maximum(np.array([float(v or 0) for v in total]), 1.0)
+    # one floor for all languages, so that a language with more text does not lose by it
+    logs = np.log(c / size + SMOOTH / size.max()).astype(np.float32)
     return dict(zip(top["word"].tolist(), logs, strict=True))
 
 

@@ -122,6 +122,23 @@ def normal(sentence: str) -> str:
     return words if words == HEADER else re.sub(NOTICE, "under ", re.sub("^under (the )?", "under ", words))
 
 
+def _known() -> tuple[dict[str, str], list[tuple[str, str, list[str]]]]:
+    """(identifier by normalised sentence, rules over those identifiers).
+
+    A listed sentence that is cut in its middle becomes parts; a part that several
+    sentences share has one identifier.
+    """
+    known: dict[str, str] = {}
+    parts: dict[str, list[str]] = {}
+    for name, text in SENTENCES.items():
+        cut = re.split(r"(?<=[.;:!?])\s+", " ".join(text.split()))
+        parts[name] = [known.setdefault(normal(p), name if len(cut) == 1 else f"{name}/{i}") for i, p in enumerate(cut, 1)]
+    return known, [(rule, license, [p for x in ids for p in parts[x]]) for rule, license, ids in RULES]
+
+
+KNOWN, SEQUENCES = _known()
+
+
 def _normal(sentence: Column) -> Column:
     words = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
     return F.when(words == HEADER, words).otherwise(F.regexp_replace(words, NOTICE, "under "))
@@ -129,7 +146,7 @@ def _normal(sentence: Column) -> Column:
 
 def _identifiers(text: Column, joined: bool) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (normal(s), name)])
+    known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     if joined:
         cut = F.regexp_replace(text, rf"([.;:!?]){GAP}+|\n{GAP}*\n", "$1\u0001")
         cut = F.split(F.translate(cut, "\n", " "), "\u0001", -1)
@@ -151,7 +168,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_a", line("a")).withColumn("_b", line("b"))
     held = [
         F.when(F.col("_a").contains(p) | F.col("_b").contains(p), F.struct(F.lit(r).alias("rule"), F.lit(x).alias("license")))
-        for r, x, p in ((r, x, f",{','.join(ids)},") for r, x, ids in RULES)
+        for r, x, p in ((r, x, f",{','.join(ids)},") for r, x, ids in SEQUENCES)
     ]
     rows = rows.withColumn("m", F.array_compact(F.array(*held)))
     both = F.when(F.size("a") >= F.size("b"), F.col("a")).otherwise(F.col("b"))
@@ -166,8 +183,8 @@ def scan(docs: DataFrame) -> DataFrame:
 def scan_sql() -> str:
     """The same scan as SQL over the table ``documents``."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(normal(s))}, {quote(name)})" for name, s in SENTENCES.items())
-    rules = ", ".join(f"({i}, {quote(r)}, {quote(x)}, ',{','.join(ids)},')" for i, (r, x, ids) in enumerate(RULES))
+    known = ", ".join(f"({quote(words)}, {quote(name)})" for words, name in KNOWN.items())
+    rules = ", ".join(f"({i}, {quote(r)}, {quote(x)}, ',{','.join(ids)},')" for i, (r, x, ids) in enumerate(SEQUENCES))
     return f"""
 WITH known(words, name) AS (VALUES {known}),
 rules(place, rule, license, ids) AS (VALUES {rules}),
