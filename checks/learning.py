@@ -12,8 +12,6 @@ from harbinger.operators.splits import rolling_origin
 from harbinger.plans import early_warning as E
 from harbinger.plans import experiments as X
 
-# boosting rounds of the registered queries; the library default is 100
-ROUNDS = 20
 KEYS = ["county_name", "observation_date", "horizon_months"]
 
 
@@ -25,7 +23,7 @@ def _fold(spark, sf, horizon=1):
 
 def _scores(spark, sf, model):
     train, held = _fold(spark, sf)
-    fitted = L.fit_classifier(train, model, V.LONG_FEATURES, impute="median", max_iter=ROUNDS)
+    fitted = L.fit_classifier(train, model, V.LONG_FEATURES, impute="median")
     return L.score(fitted, held, V.LONG_FEATURES, "median").select(*KEYS, L.LABEL, "p")
 
 
@@ -42,7 +40,7 @@ def boosting(spark, sf):
 @query("ensemble_scores")
 def ensemble(spark, sf):
     train, held = _fold(spark, sf)
-    models = L.fit_ensemble(train, V.LONG_FEATURES, max_iter=ROUNDS)
+    models = L.fit_ensemble(train, V.LONG_FEATURES)
     out = L.score_ensemble(models, held, V.LONG_FEATURES)
     return out.select(*KEYS, L.LABEL, *[f"p_{m}" for m in L.CANDIDATES], "p")
 
@@ -61,7 +59,7 @@ def logistic(spark, sf):
 @query("horizon_backtest")
 def backtest(spark, sf):
     long = S.long_table(spark, sf, True)
-    metrics, _, _ = X.horizon_backtest(long, S.FOLDS, ("logistic_regression", "random_forest"))
+    metrics, _, _ = X.horizon_backtest(long, S.FOLDS)
     return metrics
 
 
@@ -97,21 +95,20 @@ def baseline(spark, sf):
 
 @query("model_grid")
 def grid(spark, sf):
-    models = (*X.BASELINES, "logistic_regression", "random_forest")
-    return X.registry_rows(X.model_predictions(S.long_table(spark, sf, True), S.FOLDS, models, horizons=(1,)))
+    return X.registry_rows(X.model_predictions(L.settle(S.long_table(spark, sf, True)), S.FOLDS))
 
 
 @query("permutation_importance")
 def importance(spark, sf):
     train, held = _fold(spark, sf)
     fitted = L.fit_classifier(train, "random_forest", V.LONG_FEATURES)
-    return X.forest_importance(fitted, held, V.LONG_FEATURES, repeats=5)
+    return X.forest_importance(fitted, held, V.LONG_FEATURES)
 
 
 @query("importance_stability")
 def stability(spark, sf):
     long = S.long_table(spark, sf, True)
-    _, out = X.importance_stability(long, "1999-12-31", "2000-01-01", repeats=2)
+    _, out = X.importance_stability(long, "1999-12-31", "2000-01-01")
     return out
 
 

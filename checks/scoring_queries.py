@@ -299,7 +299,7 @@ def errors_query(spark, sf):
     return missed.unionByName(alarms)
 
 
-BOOT_N, BOOT_SEED = 100, 42
+BOOT_N, BOOT_SEED = 300, 42
 
 
 @query(
@@ -343,9 +343,14 @@ def labels_query(spark, sf):
     return r6(M.label_distribution(orders, "label"))
 
 
+def _bin_sql(bins):
+    """Edges that are not above the score, written out as the doubles they are."""
+    return " + ".join(f"CAST(p >= '{i * (1.0 / bins)!r}'::DOUBLE AS INTEGER)" for i in range(1, bins))
+
+
 @query(
     "prob_histogram",
-    f"""WITH {O.SCORED} SELECT y AS label, CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n
+    f"""WITH {O.SCORED} SELECT y AS label, {_bin_sql(10)} AS bin, count(*) AS n
     FROM scored GROUP BY 1, 2""",
 )
 def histogram_query(spark, sf):
@@ -354,7 +359,7 @@ def histogram_query(spark, sf):
 
 @query(
     "prob_histogram_20",
-    f"""WITH {O.SCORED} SELECT y AS label, CAST(least(floor(p * 20), 19) AS INTEGER) AS bin, count(*) AS n
+    f"""WITH {O.SCORED} SELECT y AS label, {_bin_sql(20)} AS bin, count(*) AS n
     FROM scored GROUP BY 1, 2""",
 )
 def histogram20_query(spark, sf):

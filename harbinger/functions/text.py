@@ -9,39 +9,75 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _accent_tables() -> tuple[str, str, dict[str, str]]:
-    """Compatibility-decomposition tables derived from the Unicode database.
+HANGUL, HANGUL_END = 0xAC00, 0xD7A4
+
+
+def _plain(char: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+
+
+def _char_class(codes: list[int]) -> str:
+    """A regular-expression class of code points, as ranges."""
+    runs: list[list[int]] = []
+    for code in codes:
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in runs) + "]"
+
+
+def _accent_tables() -> tuple[str, str, dict[str, str], str, str]:
+    """Compatibility-decomposition tables over every code point of the Unicode database.
 
     Characters whose decomposition (combining marks removed) is one character go
-    into a ``translate`` pair; Latin ligatures and the like expand to several.
+    into a ``translate`` pair, longer ones into a map; Korean syllables follow a rule.
     """
-    source, target, expand = [], [], {}
-    ranges = [(0x00A0, 0x0250), (0x1E00, 0x2100), (0xFB00, 0xFB07), (0xFF01, 0xFF5F)]
-    for lo, hi in ranges:
-        for code in range(lo, hi):
-            char = chr(code)
-            plain = "".join(
-                c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)
-            )
-            if plain == char:
-                continue
-            if len(plain) == 1:
-                source.append(char)
-                target.append(plain)
-            elif 0xFB00 <= code < 0xFB07:
-                expand[char] = plain
-    return "".join(source), "".join(target), expand
-
-
-_FROM, _TO, _LIGATURES = _accent_tables()
+    source, target, expand, marks = [], [], {}, []
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
+        char = chr(code)
+        if unicodedata.combining(char):
+            marks.append(code)
+            continue
+        if HANGUL <= code < HANGUL_END:
+            continue
+        plain = _plain(char)
+        if plain == char:
+            continue
+        if len(plain) == 1:
+            source.append(char)
+            target.append(plain)
+        else:
+            expand[char] = plain
+    several = sorted([*map(ord, expand), *range(HANGUL, HANGUL_END)])
+    return "".join(source), "".join(target), expand, _char_class(several), _char_class(marks)
+
+
+_FROM, _TO, _SEVERAL, _SEVERAL_CLASS, _MARKS = _accent_tables()
+
+
+def _expand(ch: Column) -> Column:
+    """The characters that a character of several parts stands for, else itself."""
+    lead, vowel, tail = ("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+    at = F.ascii(ch) - HANGUL
+
+    def part(letters: str, place: Column) -> Column:
+        return F.substring(F.lit(letters), (place + 1).cast("int"), F.lit(1))
+
+    syllable = F.concat(
+        part(lead, F.floor(at / 588)),
+        part(vowel, F.floor(at % 588 / 28)),
+        F.when(at % 28 > 0, part(tail, at % 28 - 1)).otherwise(""),
+    )
+    table = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
+    return F.when((at >= 0) & (at < HANGUL_END - HANGUL), syllable).otherwise(F.coalesce(table[ch], ch))
 
 
 def strip_accents(c: Column) -> Column:
-    """Compatibility-fold Latin letters and drop combining marks."""
+    """Compatibility-fold every letter and drop combining marks."""
     out = F.translate(c, _FROM, _TO)
-    for char, plain in _LIGATURES.items():
-        out = F.replace(out, F.lit(char), F.lit(plain))
-    return F.regexp_replace(out, r"\p{Mn}+", "")
+    wide = F.array_join(F.transform(F.split(out, ""), _expand), "")
+    return F.regexp_replace(F.when(out.rlike(_SEVERAL_CLASS), wide).otherwise(out), _MARKS + "+", "")
 
 
 def collapse_spaces(c: Column) -> Column:
@@ -104,9 +140,26 @@ def fixed_text(c: Column, decimals: int, plus: bool = False, grouped: bool = Fal
     ``grouped`` adds thousands commas.
     """
     x = _known(c)
+    size = F.abs(x)
     step = F.lit(Decimal(1).scaleb(-decimals))
-    number = nearest_units(x, decimals).cast("decimal(20,0)") * step
+    # from 2**53 on a double is a whole number; up to 2**102 it is put together from two
+    # halves exactly, and beyond that written from its shortest digits
+    low = F.when(size < 2.0**53, size).otherwise(0.0)
+    number = nearest_units(low, decimals).cast("decimal(20,0)") * step
     text = F.format_number(number, decimals) if grouped else number.cast("string")
+    part = float(2**50)
+    mid = F.when((size >= 2.0**53) & (size < 2.0**102), size).otherwise(0.0)
+    high = F.floor(mid / part).cast("bigint")
+    whole = high.cast("decimal(19,0)") * F.lit(Decimal(2**50)) + (mid % part).cast("bigint").cast("decimal(19,0)")
+    digits = F.format_number(whole, 0) if grouped else whole.cast("decimal(38,0)").cast("string")
+    point = "." + "0" * decimals if decimals else ""
+    huge = F.format_number(size, decimals)
+    text = (
+        F.when(size == float("inf"), "inf")
+        .when(size < 2.0**53, text)
+        .when(size < 2.0**102, F.concat(digits, F.lit(point)))
+        .otherwise(huge if grouped else F.replace(huge, F.lit(","), F.lit("")))
+    )
     return F.concat(F.when(x < 0, "-").otherwise("+" if plus else ""), text)
 
 

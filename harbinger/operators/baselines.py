@@ -37,12 +37,11 @@ def event_rates(train: DataFrame, label: str = "target_phase3plus") -> DataFrame
 def _counts(train: DataFrame, label: str) -> DataFrame:
     """Events and rows per (entity, month): the one pass over training.
 
-    Every rate below sums this table, and reads both of its measures, so the pass is
-    planned once and its exchange reused.
+    Every rate below sums this table and reads both of its measures.
     """
     return train.groupBy("county_name", "month").agg(
         F.sum(F.col(label).cast("double")).alias("s"), F.count(label).alias("n")
-    ).where((F.col("n") > 0) & (F.col("s") >= 0))
+    )
 
 
 def _rate():

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from harbinger import fixed_values as V
 from harbinger.functions.calendar import month_start, period_text, quarter_of, season_flag
 from harbinger.operators.keys import entity_months
-from harbinger.operators.names import small_side
 
 HORIZONS = (1, 2, 3)
 
@@ -51,11 +50,9 @@ def lead_targets(panel: DataFrame, label: str = "target_phase3plus") -> DataFram
 
 def seasonal_context(panel: DataFrame, dim: DataFrame) -> DataFrame:
     """Quarter, rain-season flags and the aridity flag (1 for an unknown entity)."""
-    arid = small_side(
-        dim.select(
-            F.col("canonical_name").alias("county_name"),
-            (F.col("asal_category") == "Arid").cast("int").alias("_arid"),
-        )
+    arid = dim.select(
+        F.col("canonical_name").alias("county_name"),
+        (F.col("asal_category") == "Arid").cast("int").alias("_arid"),
     )
     return (
         panel.join(arid, "county_name", "left")

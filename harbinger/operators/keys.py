@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 
 def keep_last(df: DataFrame, key: Sequence[str], sequence: Sequence[str]) -> DataFrame:
-    """Last row of each key in ``sequence`` order.
+    """Last row of each key in ``sequence`` order; a hash of the row settles ties.
 
     An aggregate, not a window: duplicates are combined before the shuffle, so a
     key that holds a large share of the rows never reaches one task whole.
     """
     rest = [c for c in df.columns if c not in key]
-    last = F.max_by(F.struct(*rest), F.struct(*sequence))
+    last = F.max_by(F.struct(*rest), F.struct(*sequence, F.xxhash64(*rest).alias("_tie")))
     return df.groupBy(*key).agg(last.alias("_last")).select(*key, "_last.*").select(*df.columns)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -19,31 +18,13 @@ from harbinger.functions.scalars import blend
 from harbinger.operators.keys import fill_back_then_forward
 from harbinger.operators.metrics import best_threshold, threshold_grid
 from harbinger.operators.quality import SchemaDrift, missing_columns
+from harbinger.sources.shared import settle
 from harbinger.sources.storage import first_existing
 
 LABEL = "target_phase3plus"
 CANDIDATES = ("logistic_regression", "random_forest", "boosting")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Materialise a frame that several fits read, and end its lineage.
-
-    Uses the shared folder the session names in ``spark.checkpoint.dir``. A local
-    session without one gets a temporary folder; a cluster without one keeps the
-    frame in block storage, with its lineage, so lost blocks are computed again.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                return df.persist()
-            folder = tempfile.mkdtemp(prefix="harbinger-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def with_balanced_weight(df: DataFrame, label: str = LABEL, out: str = "_weight") -> DataFrame:
     """Weight n / (2 * class size), so both classes weigh the same in a fit."""
     sizes = df.agg(
@@ -105,7 +86,8 @@ def fit_classifier(
     stages, _, _ = _inputs(features, impute, scale=name == "logistic_regression")
     weighted = with_balanced_weight(numeric(train, features, impute), label)
     ordered = weighted.sortWithinPartitions(F.xxhash64(*features, label), *features)
-    estimator = classifier(name, train.count(), label, seed, max_iter)
+    n_rows = train.count() if name == "logistic_regression" else 0
+    estimator = classifier(name, n_rows, label, seed, max_iter)
     return Pipeline(stages=[*stages, estimator]).fit(ordered)
 
 

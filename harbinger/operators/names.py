@@ -1,8 +1,8 @@
 """Matching raw place names to a dimension, and auditing the coverage.
 
-The lookup side holds one row per spelling of a dimension member. Its size is
-counted first; while it is small it is broadcast and the feed is never shuffled by
-name, which keeps a dominant name harmless.
+The lookup side holds one row per spelling of a dimension member. How it is joined is
+left to the optimizer: below its byte limit it is broadcast, above it the join shuffles
+and adaptive execution splits a dominant name.
 """
 
 from __future__ import annotations
@@ -13,27 +13,10 @@ from pyspark.sql import functions as F
 from harbinger import fixed_values as V
 from harbinger.functions.text import clean_key, strip_punctuation, zero_pad
 
-MAX_DIMENSION_ROWS = 100_000
-
-
 def strict_aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(V.STRICT_ALIASES.items()), "alias string, canonical string")
 
 
-def small_side(df: DataFrame, limit: int = MAX_DIMENSION_ROWS, checked: bool | None = None) -> DataFrame:
-    """Broadcast hint for a side counted to be small; beyond ``limit`` no hint at all.
-
-    The count stops at ``limit + 1`` rows. A larger side joins by shuffle, where
-    adaptive execution splits dominant keys. ``checked`` reuses an earlier answer.
-    """
-    small = is_small(df, limit) if checked is None else checked
-    return F.broadcast(df) if small else df
-
-
-def is_small(df: DataFrame, limit: int = MAX_DIMENSION_ROWS) -> bool:
-    return df.limit(limit + 1).count() <= limit
-
-
 def _first_by(lookup: DataFrame, key: str, order: str) -> DataFrame:
     return lookup.groupBy(key).agg(F.min_by("canonical", order).alias("canonical"))
 
@@ -63,7 +46,6 @@ def canonical_strict(
         by_name = by_name.unionByName(alias_rows.withColumn("rank", F.lit(1)))
         by_plain = by_plain.unionByName(alias_rows.withColumn("rank", F.lit("1")))
     cleaned = clean_key(F.col(raw))
-    checked = is_small(dim)
     staged = df.withColumns(
         {"_clean": cleaned, "_plain": strip_punctuation(cleaned), "_code": zero_pad(cleaned)}
     )
@@ -72,7 +54,7 @@ def canonical_strict(
         ("_plain", _first_by(by_plain, "key", "rank")),
         ("_code", names.withColumnRenamed("code", "key")),
     ):
-        side = small_side(lookup, checked=checked).select(
+        side = lookup.select(
             F.col("key").alias(stage), F.col("canonical").alias(stage + "_hit")
         )
         staged = staged.join(side, stage, "left")
@@ -104,7 +86,6 @@ def canonical_soft(
         )
     )
     low = F.lower(F.trim(F.col(raw)))
-    checked = is_small(dim)
     staged = df.withColumns(
         {
             "_exact": low,
@@ -117,7 +98,7 @@ def canonical_soft(
         ("_alias", _first_by(spelled, "key", "county_id")),
         ("_bare", names),
     ):
-        side = small_side(lookup, checked=checked).select(
+        side = lookup.select(
             F.col("key").alias(stage), F.col("canonical").alias(stage + "_hit")
         )
         staged = staged.join(side, stage, "left")
@@ -133,7 +114,7 @@ def canonical_soft(
 
 def with_dimension(df: DataFrame, dim: DataFrame, name: str = "canonical_name") -> DataFrame:
     """Attach the dimension attributes of a resolved name."""
-    side = small_side(dim.withColumnRenamed("canonical_name", name).drop("county_name"))
+    side = dim.withColumnRenamed("canonical_name", name).drop("county_name")
     return df.join(side, name, "left")
 
 

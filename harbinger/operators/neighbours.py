@@ -290,9 +290,13 @@ def effective_edges(
 def value_by_entity(
     df: DataFrame, value: str, entities: Sequence[str], date: str = "observation_date"
 ) -> DataFrame:
-    """Date rows by entity columns with the first known value, for export."""
+    """Date rows by entity columns with one known value each, for export.
+
+    Where a date has several values of an entity the smallest is taken, so the result
+    does not depend on the order of rows.
+    """
     return (
         df.groupBy(date)
         .pivot("county_name", list(entities))
-        .agg(F.first(value, ignorenulls=True))
+        .agg(F.min(value))
     )

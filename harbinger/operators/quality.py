@@ -11,7 +11,6 @@ from pyspark.sql.types import NumericType
 from harbinger import fixed_values as V
 from harbinger.functions.scalars import source_status
 from harbinger.functions.text import zero_pad
-from harbinger.operators.names import small_side
 
 
 NUMBER_TYPES = ("int", "bigint", "double", "float")
@@ -64,7 +63,7 @@ def schema_drift(
 
 def require_schema(df: DataFrame, name: str, expected: Sequence[str], **rules) -> DataFrame:
     """Return ``df`` or raise :class:`SchemaDrift` naming every broken contract."""
-    issues = schema_drift(df, expected, **rules).limit(1000).collect()
+    issues = schema_drift(df, expected, **rules).collect()
     if issues:
         lines = [f"{r['check']}: {r['column']} ({r['n_bad']})" for r in issues]
         raise SchemaDrift(f"{name} breaks its contract: " + "; ".join(lines))
@@ -91,7 +90,7 @@ def validate_panel(panel: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     source = panel
     if dim is not None:
         known = dim.select(F.col("canonical_name").alias("county_name"), F.lit(True).alias("_known"))
-        source = panel.join(small_side(known), "county_name", "left")
+        source = panel.join(known, "county_name", "left")
         rules["unknown_name"] = F.col("_known").isNull()
     by_key = source.groupBy("county_name", "year", "month").agg(
         F.count(F.lit(1)).alias("_n"), *[F.count_if(bad).alias(r) for r, bad in rules.items()]
@@ -149,7 +148,7 @@ def dimension_check(dim: DataFrame, known: DataFrame | None = None) -> DataFrame
     code_ok = F.col("_code").isNotNull()
     if known is not None:
         codes = known.select(F.col("county_id").alias("_code"), F.lit(True).alias("_known")).distinct()
-        source = source.join(small_side(codes), "_code", "left")
+        source = source.join(codes, "_code", "left")
         code_ok = F.col("_known").isNotNull()
     rules = {
         "unknown_code": ~code_ok,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.ml.feature import ImputerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -198,7 +199,7 @@ def importance_stability(
         rows = known.where(F.col("horizon_months") == h)
         train = rows.where(F.col("observation_date") <= F.lit(train_end).cast("date"))
         held = rows.where(F.col("observation_date") >= F.lit(test_start).cast("date"))
-        fitted = L.fit_classifier(train, "random_forest", features, LABEL, "zero", seed)
+        fitted = L.fit_classifier(train, "random_forest", features, LABEL, "median", seed)
         frames.append(
             forest_importance(fitted, held, features, repeats, seed).withColumn("horizon", F.lit(h))
         )
@@ -207,14 +208,22 @@ def importance_stability(
 
 
 def forest_importance(fitted, held: DataFrame, features: Sequence[str], repeats: int = 10, seed: int = 42) -> DataFrame:
-    """Permutation and in-tree importance of one fitted forest, best first."""
+    """Permutation and in-tree importance of one fitted forest, best first.
+
+    Gaps are filled as the forest's own pipeline fills them.
+    """
     tree = fitted.stages[-1]
+    imputers = [s for s in fitted.stages if isinstance(s, ImputerModel)]
+    filled = L.numeric(held, features, "median" if imputers else "zero")
+    for imputer in imputers:
+        made = dict(zip(imputer.getInputCols(), imputer.getOutputCols(), strict=True))
+        filled = imputer.transform(filled).withColumns({c: F.col(m) for c, m in made.items()}).drop(*made.values())
 
     def score(df: DataFrame) -> DataFrame:
         return tree.transform(df).withColumn("p", L.probability())
 
     shuffled = permutation_importance(
-        score, L.numeric(held, features, "zero"), features,
+        score, filled, features,
         ["county_name", "observation_date", "horizon_months"], LABEL, repeats, seed,
     )
     native = L.tree_importance(fitted, features).withColumnRenamed("importance", "native_tree_importance")

@@ -43,12 +43,16 @@ def entity_risk(long: DataFrame, entity: str) -> DataFrame:
     return rows.select(*_risk_columns(V.ACTION_BASE_SINGLE))
 
 
+def available_entities(df: DataFrame) -> DataFrame:
+    """Names that :func:`require_entity` accepts, in order."""
+    return df.select("county_name").distinct().orderBy("county_name")
+
+
 def require_entity(df: DataFrame, entity: str) -> DataFrame:
-    """The entity's rows, or an error that lists what is available."""
+    """The entity's rows, or an error; :func:`available_entities` lists what there is."""
     rows = same_entity(df, entity)
     if rows.isEmpty():
-        known = [r[0] for r in df.select("county_name").distinct().orderBy("county_name").limit(1000).collect()]
-        raise LookupError(f"'{entity}' is not monitored; available: {known}")
+        raise LookupError(f"'{entity}' is not monitored; available_entities() lists the names")
     return rows
 
 

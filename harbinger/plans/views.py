@@ -13,7 +13,7 @@ from harbinger.functions.scalars import risk_band
 from harbinger.functions.signals import indicator_flags, narrative
 from harbinger.functions.text import integer_text, percent_text, signed_text
 from harbinger.operators.keys import at_latest, between_periods, fill_back_then_forward, last_per_entity
-from harbinger.operators.names import missing_from, small_side
+from harbinger.operators.names import missing_from
 
 
 def with_period(panel: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def map_table(snapshot: DataFrame, dim: DataFrame) -> DataFrame:
 
 def unmapped(snapshot: DataFrame, dim: DataFrame) -> DataFrame:
     geo = dim.select(F.col("canonical_name").alias("county_name"))
-    return missing_from(snapshot, small_side(geo))
+    return missing_from(snapshot, geo)
 
 
 def explorer(scored: DataFrame, entity: str, start: str | None, end: str | None) -> DataFrame:

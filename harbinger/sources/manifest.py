@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from harbinger import fixed_values as V
 from harbinger.functions.calendar import is_stale, staleness_days
 from harbinger.operators.keys import keep_last
-from harbinger.operators.names import coverage_summary, small_side
+from harbinger.operators.names import coverage_summary
 from harbinger.sources.feeds import coverage_dates, normalise, read_csv
 from harbinger.sources.storage import fingerprint, path_exists, pick_snapshot
 
@@ -53,7 +53,7 @@ def with_staleness(df: DataFrame, registry: DataFrame, as_of) -> DataFrame:
     limits = registry.select("source_key", "staleness_warning_days")
     days = staleness_days(F.col("date_coverage_end"), as_of)
     return (
-        df.join(small_side(limits), "source_key", "left")
+        df.join(limits, "source_key", "left")
         .withColumn("staleness_days", days)
         .withColumn("is_stale", is_stale(F.col("staleness_days"), F.col("staleness_warning_days")))
         .drop("staleness_warning_days")

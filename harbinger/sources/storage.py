@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,22 +70,44 @@ def land_raw(df: DataFrame, folder: str, day: str) -> str:
 
 
 def fingerprint(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 and size of each file; one task hashes one file.
+    """SHA-256 and size of each file, read in blocks in the task that owns the file.
 
-    Whole files are hashed. A file above the reader's size limit fails loudly.
+    The listing comes from the binary reader, whose content column is never read, so a
+    file of any size is hashed in constant memory. Paths must open through Arrow's file
+    systems (local, HDFS, S3, GCS), as the scheme says.
     """
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .load(path)
-        .select(
-            F.element_at(F.split("path", "/"), -1).alias("file_name"),
-            F.col("length").alias("file_size_bytes"),
-            F.sha2("content", 256).alias("sha256_checksum"),
-        )
+    files = (
+        spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
+    )
+
+    @F.pandas_udf("string")
+    def digest(paths: pd.Series) -> pd.Series:
+        return pd.Series([_sha256(p) for p in paths], dtype=object)
+
+    return files.select(
+        F.element_at(F.split("path", "/"), -1).alias("file_name"),
+        F.col("length").alias("file_size_bytes"),
+        digest("path").alias("sha256_checksum"),
     )
 
 
+BLOCK_BYTES = 1 << 20
+
+
+def _sha256(uri: str) -> str:
+    system, name = arrow_fs.FileSystem.from_uri(_local_uri(uri))
+    sha = hashlib.sha256()
+    with system.open_input_stream(name) as stream:
+        while block := stream.read(BLOCK_BYTES):
+            sha.update(block)
+    return sha.hexdigest()
+
+
+def _local_uri(uri: str) -> str:
+    """``file:/x`` as ``file:///x``, which is how Arrow spells it."""
+    return "file:///" + uri[len("file:"):].lstrip("/") if uri.startswith("file:") else uri
+
+
 def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
     """Overwrite a Parquet table and return it read back, which ends its lineage."""
     writer = df.write.mode("overwrite")

@@ -93,3 +93,23 @@ def test_ensemble_bounds(spark):
 def test_synonyms(spark):
     got = one(spark, "c string", ["White Maize ", "corn", "Beans", None], X.map_synonyms(F.col("c"), V.COMMODITY_SYNONYMS))
     assert [g[0] for g in got] == ["Maize", "Maize", "Beans", None]
+
+
+def test_every_decomposing_letter_is_folded(spark):
+    import unicodedata
+
+    codes = [c for c in [*range(0x80, 0xD800), *range(0xE000, 0x110000)] if unicodedata.normalize("NFKD", chr(c)) != chr(c)]
+    chars = [(i, "".join(map(chr, codes[i : i + 40]))) for i in range(0, len(codes), 40)]
+    got = spark.createDataFrame(chars, "i int, s string").repartition(8).select("s", X.strip_accents(F.col("s")).alias("t")).collect()
+    for s, t in got:
+        assert t == "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+
+
+def test_fixed_text_of_any_size(spark):
+    values = [0.0, 0.005, 37.65, 2.0**53, 1e17, 1e19, 12345678901234567890.0, 1e23, 2.0**101, -1e25]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.currency_text(F.col("v")).alias("t"), X.fixed_text(F.col("v"), 2).alias("p")).collect()
+    for v, t, p in got:
+        assert t == f"KES {v:,.2f}" and p == f"{v:.2f}"
+    odd = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (None,), (1e300,)], "v double")
+    text = [r[0] for r in odd.select(X.currency_text(F.col("v"))).collect()]
+    assert text[:4] == ["KES inf", "KES -inf", "N/A", "N/A"] and text[4].startswith("KES 1,000,000,000,")

@@ -44,15 +44,15 @@ def test_coverage(spark, dim):
 
 
 def test_lookups_without_a_broadcast_agree(spark, dim):
-    """Past the size limit no side is broadcast; the result is the same."""
+    """Where nothing is broadcast the result is the same."""
     df = spark.createDataFrame([("Turkana",), ("23",), ("x",)] * 50, "county_name string")
     want = rows(N.canonical_strict(df, dim, N.strict_aliases(spark)))
-    check = N.is_small
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
-        N.is_small = lambda d, limit=0: False
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         assert rows(N.canonical_strict(df, dim, N.strict_aliases(spark))) == want
     finally:
-        N.is_small = check
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 def test_missing_from_and_difference(spark, dim):
