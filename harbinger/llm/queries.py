@@ -85,3 +85,7 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with personal data replaced."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, SURROGATE_KEY)
+
+
+ORACLES["op5_repetition_rules"] = repetition.repetition_sql()
+ORACLES["op8_secret_scans"] = secrets.secret_sql()

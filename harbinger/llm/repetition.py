@@ -121,3 +121,44 @@ def repetition(docs: DataFrame) -> DataFrame:
         for n, limit in limits.items():
             over = over | (100 * F.col(f"{prefix}_{n}") > limit * F.col("word_chars"))
     return rows.select("doc_id", *names, base_failed.alias("base_failed"), (~base_failed & ~over).alias("kept"))
+
+
+def repetition_sql() -> str:
+    """The same rules as SQL over the table ``documents``, with n-grams as word lists."""
+    every = sorted({*NGRAMS, *TOP_NGRAMS})
+    grams = " UNION ALL ".join(
+        f"SELECT r, {n} AS n, i, list_aggregate(list_slice(w, i, i + {n - 1}), 'string_agg', ' ') AS g,"
+        f" list_sum(list_transform(list_slice(w, i, i + {n - 1}), lambda x: length(x))) AS c"
+        f" FROM (SELECT r, w, unnest(range(1, len(w) - {n - 2})) AS i FROM t WHERE len(w) >= {n})"
+        for n in every
+    )
+    dup = ", ".join(f"coalesce(sum(length(w[k])) FILTER (n = {n}), 0)::BIGINT AS dup_chars_{n}" for n in NGRAMS)
+    top = ", ".join(f"coalesce(max(m) FILTER (n = {n}), 0)::BIGINT AS top_chars_{n}" for n in TOP_NGRAMS)
+    over = " OR ".join(
+        [f"100 * dup_line_chars > {LINE_CHARS} * word_chars"]
+        + [f"100 * dup_chars_{n} > {v} * word_chars" for n, v in NGRAMS.items()]
+        + [f"100 * top_chars_{n} > {v} * word_chars" for n, v in TOP_NGRAMS.items()]
+    )
+    more = [f"dup_chars_{n}" for n in NGRAMS] + [f"top_chars_{n}" for n in TOP_NGRAMS]
+    filled = ", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ["n_repeat_words", "n_dup_lines", "dup_line_chars", *more])
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+t AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+own AS (SELECT r, line, i, list_sum(list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: length(x))) AS c
+    FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+copies AS (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY i) AS k FROM own),
+repeats AS (SELECT r, count(*) AS n_dup_lines, sum(c) AS dup_line_chars FROM copies WHERE k > 1 GROUP BY r),
+grams AS ({grams}),
+counted AS (SELECT *, count(*) OVER (PARTITION BY r, n, g) AS m FROM grams),
+twice AS (SELECT r, n, i, g, m * c AS m FROM counted WHERE m > 1),
+inside AS (SELECT DISTINCT r, n, unnest(range(i, i + n)) AS k FROM twice WHERE n IN ({", ".join(map(str, NGRAMS))})),
+dups AS (SELECT r, count(*) FILTER (n = 5) AS n_repeat_words, {dup} FROM inside JOIN t USING (r) GROUP BY r),
+tops AS (SELECT r, {top} FROM twice GROUP BY r),
+base AS (
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, {filled}
+    FROM d JOIN t USING (r) LEFT JOIN repeats USING (r) LEFT JOIN dups USING (r) LEFT JOIN tops USING (r)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND NOT ({over}) AS kept FROM judged
+"""

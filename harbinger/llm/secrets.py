@@ -192,3 +192,38 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
         size = F.char_length("_new").cast(kinds["n_chars"])
         made["n_chars"] = F.when(F.col("_cuts").isNull(), F.col("_row.n_chars")).otherwise(size)
     return free.union(met.select(*[made.get(c, F.col(f"_row.`{c}`")).alias(c) for c in names]))
+
+
+def secret_sql() -> str:
+    """The same digest as SQL over the table ``documents``."""
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    kinds = []
+    for rank, (kind, role, pattern, group, least) in enumerate(KINDS):
+        part = f"regexp_extract_all(text, {quote(pattern)}, {group})"
+        good = f"length(p) >= {least}"
+        if kind == "weak_secret":
+            good += " AND regexp_matches(p, '[0-9]') AND regexp_matches(p, '[A-Za-z]')"
+        kinds.append(
+            f"SELECT r, '{kind}' AS kind, '{role}' AS role, {rank} AS rank, stop - length(m) AS start, stop, {good} AS good FROM ("
+            f"SELECT r, m, p, sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY i) AS stop FROM ("
+            f"SELECT r, unnest(m) AS m, unnest(p) AS p, unnest(list_slice(g, 1, len(m))) AS g, generate_subscripts(m, 1) AS i FROM ("
+            f"SELECT r, regexp_extract_all(text, {quote(pattern)}) AS m, {part} AS p,"
+            f" string_split_regex(text, {quote(pattern)}) AS g FROM d)))"
+        )
+    base = ", ".join(f"'{k}'" for k in BASE)
+    line = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (SELECT r, kind, role, rank, start::BIGINT AS start, stop::BIGINT AS stop FROM ({" UNION ALL ".join(kinds)}) WHERE good),
+strong AS (SELECT * FROM parts WHERE kind IN ({base})),
+free AS (SELECT * FROM parts w WHERE kind NOT IN ({base}) AND NOT EXISTS (
+    SELECT 1 FROM strong s WHERE s.r = w.r AND s.start < w.stop AND w.start < s.stop)),
+linked AS (SELECT * FROM free w WHERE EXISTS (
+    SELECT 1 FROM parts o WHERE o.r = w.r AND (o.role = 'secret') <> (w.role = 'secret')
+    AND NOT (o.start < w.stop AND w.start < o.stop) AND greatest(o.start - w.stop, w.start - o.stop) <= {SCOPE})),
+kept AS (SELECT * FROM strong UNION ALL SELECT * FROM linked),
+per AS (SELECT r, {line} AS spans, {line} FILTER (kind IN ({base})) AS base,
+    {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)} FROM kept GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)},
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (r)
+"""
