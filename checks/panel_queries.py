@@ -203,6 +203,30 @@ def contiguity_query(spark, sf):
     return G.contiguity_edges(vertices)
 
 
+RECTANGLES = """rect AS (SELECT 'p' || p_partkey AS name,
+  (p_partkey % 50) * 2 + (p_size % 3) * 0.5::DOUBLE AS x1, floor(p_partkey / 50) * 2 + (p_size % 2) * 0.5::DOUBLE AS y1,
+  (p_partkey % 50) * 2 + (p_size % 3) * 0.5::DOUBLE + 0.5 + (p_partkey % 7) * 0.5 AS x2,
+  floor(p_partkey / 50) * 2 + (p_size % 2) * 0.5::DOUBLE + 0.5 + (p_partkey % 5) * 0.5 AS y2 FROM part)"""
+
+
+@query(
+    "polygon_contiguity",
+    f"""WITH {RECTANGLES} SELECT a.name AS src, b.name AS dst FROM rect a JOIN rect b
+    ON a.name <> b.name AND a.x1 <= b.x2 AND b.x1 <= a.x2 AND a.y1 <= b.y2 AND b.y1 <= a.y2""",
+)
+def polygon_query(spark, sf):
+    """Rectangles that share vertices or parts of edges, cross, or hold each other."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    x1 = (key % 50) * 2 + (size % 3) * 0.5
+    y1 = F.floor(key / 50) * 2 + (size % 2) * 0.5
+    x2, y2 = x1 + 0.5 + (key % 7) * 0.5, y1 + 0.5 + (key % 5) * 0.5
+    corners = [F.struct(x.cast("double").alias("lon"), y.cast("double").alias("lat")) for x, y in ((x1, y1), (x2, y1), (x2, y2), (x1, y2))]
+    shapes = S.table(spark, sf, "part").select(
+        F.concat(F.lit("p"), key.cast("string")).alias("name"), F.array(F.array(*corners)).alias("rings")
+    )
+    return G.polygon_contiguity(shapes)
+
+
 @query(
     "effective_edges",
     f"""WITH {O.DIMENSION}, touch AS (
@@ -262,6 +286,35 @@ def distance_query(spark, sf):
     )
 
 
+A, E2 = 6378.137, (1 / 298.257223563) * (2 - 1 / 298.257223563)
+EP2 = E2 / (1 - E2)
+PLANAR = f"""terms AS (SELECT canonical_name AS name, radians(centroid_lat) AS phi,
+    {A!r}::DOUBLE / sqrt(1 - {E2!r}::DOUBLE * pow(sin(radians(centroid_lat)), 2)) AS n,
+    pow(tan(radians(centroid_lat)), 2) AS t, {EP2!r}::DOUBLE * pow(cos(radians(centroid_lat)), 2) AS c,
+    cos(radians(centroid_lat)) * radians(centroid_lon - 39.0) AS d FROM dim),
+  meridian AS (SELECT *, {A!r}::DOUBLE * (
+    {1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256!r}::DOUBLE * phi
+    - {3 * E2 / 8 + 3 * E2**2 / 32 + 45 * E2**3 / 1024!r}::DOUBLE * sin(2 * phi)
+    + {15 * E2**2 / 256 + 45 * E2**3 / 1024!r}::DOUBLE * sin(4 * phi)
+    - {35 * E2**3 / 3072!r}::DOUBLE * sin(6 * phi)) AS m FROM terms),
+  sites AS (SELECT name,
+    0.9996::DOUBLE * n * (d + (1 - t + c) * pow(d, 3) / 6
+      + (5 - 18 * t + t * t + 72 * c - 58 * {EP2!r}::DOUBLE) * pow(d, 5) / 120) AS x,
+    0.9996::DOUBLE * (m + n * tan(phi) * (d * d / 2 + (5 - t + 9 * c + 4 * c * c) * pow(d, 4) / 24
+      + (61 - 58 * t + t * t + 600 * c - 330 * {EP2!r}::DOUBLE) * pow(d, 6) / 720)) AS y FROM meridian)"""
+
+
+@query(
+    "planar_distance",
+    f"""WITH {O.DIMENSION}, {O.EDGES}, {PLANAR}
+    SELECT src, dst, round(sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)), 6) AS dist_km
+    FROM edges JOIN sites a ON src = a.name JOIN sites b ON dst = b.name""",
+)
+def planar_query(spark, sf):
+    sites = G.sites_from_dimension(S.entity_dimension(spark, sf))
+    return r6(G.distance_table(sites, S.edges(spark, sf).select("src", "dst")))
+
+
 NATIONS = [f"NATION_{i}" for i in range(25)]
 
 

@@ -260,18 +260,13 @@ BUFFERING = """list_filter([
     f"""WITH {O.LONG_SCORED}, q AS (SELECT *, round_even(neighbour_mean_rainfall_anomaly, 3) AS near FROM long_scored)
     SELECT county_name, observation_date, horizon_months, risk_probability AS model_risk_probability,
       array_to_string(({ELEVATING})[1:4], '|') AS risk_elevating_factors,
-      array_to_string(({BUFFERING})[1:4], '|') AS risk_buffering_factors FROM q""",
+      array_to_string(({BUFFERING})[1:4], '|') AS risk_buffering_factors,
+      '{V.ATTRIBUTION_NOTE}' AS interpretation_disclaimer FROM q""",
 )
 def attribution_query(spark, sf):
-    scored = S.long_scored(spark, sf, with_neighbours=True)
-    from harbinger.functions.signals import buffering_factors, elevating_factors
-
-    return scored.select(
-        "county_name", "observation_date", "horizon_months",
-        F.col("risk_probability").alias("model_risk_probability"),
-        F.concat_ws("|", elevating_factors()).alias("risk_elevating_factors"),
-        F.concat_ws("|", buffering_factors()).alias("risk_buffering_factors"),
-    )
+    out = R.local_attribution(S.long_scored(spark, sf, with_neighbours=True))
+    lists = ("risk_elevating_factors", "risk_buffering_factors")
+    return out.withColumns({c: F.concat_ws("|", c) for c in lists})
 
 
 @query(

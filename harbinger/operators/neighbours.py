@@ -96,6 +96,84 @@ def contiguity_edges(vertices: DataFrame, decimals: int = 6) -> DataFrame:
     )
 
 
+def _cells(df: DataFrame, size: Column, *carried: str) -> DataFrame:
+    """Rows with a box (x1, y1, x2, y2) entered under every grid cell the box meets."""
+    def span(a: str, b: str) -> Column:
+        return F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
+
+    wide = df.withColumn("cx", F.explode(span("x1", "x2")))
+    return wide.select(*carried, "x1", "y1", "x2", "y2", "cx", F.explode(span("y1", "y2")).alias("cy"))
+
+
+def _side(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
+    return F.signum((bx - ax) * (py - ay) - (by - ay) * (px - ax))
+
+
+def _segments_meet(s: str, t: str) -> Column:
+    """Whether two closed segments have a point in common."""
+    a = [F.col(f"{s}.{c}") for c in ("x1", "y1", "x2", "y2")]
+    b = [F.col(f"{t}.{c}") for c in ("x1", "y1", "x2", "y2")]
+    boxes = (
+        (F.least(a[0], a[2]) <= F.greatest(b[0], b[2])) & (F.least(b[0], b[2]) <= F.greatest(a[0], a[2]))
+        & (F.least(a[1], a[3]) <= F.greatest(b[1], b[3])) & (F.least(b[1], b[3]) <= F.greatest(a[1], a[3]))
+    )
+    across = (_side(*a, b[0], b[1]) * _side(*a, b[2], b[3]) <= 0) & (_side(*b, a[0], a[1]) * _side(*b, a[2], a[3]) <= 0)
+    return boxes & across
+
+
+def polygon_contiguity(boundaries: DataFrame) -> DataFrame:
+    """Contiguity of regions ``(name, rings)`` that touch or overlap in any point.
+
+    Shared vertices, shared parts of an edge, crossings and regions inside another all
+    count. Boundary segments meet through an equi-join on grid cells about two mean
+    segments wide; a region without any meeting segment is tried as a whole inside
+    the regions whose box covers one of its vertices, by counting crossings of a ray.
+    Each unordered pair is compared once. Holes are not treated apart: a region in a
+    hole counts as inside only if an odd number of rings surrounds it.
+    """
+    rings = boundaries.select("name", F.posexplode("rings").alias("ring", "points"))
+    points = rings.where(F.size("points") > 0)
+    after = F.concat(F.slice("points", 2, F.size("points")), F.slice("points", 1, 1))
+    segments = points.select(
+        "name", F.inline(F.transform(F.arrays_zip("points", after.alias("after")), lambda p: F.struct(
+            p["points"]["lon"].alias("x1"), p["points"]["lat"].alias("y1"),
+            p["after"]["lon"].alias("x2"), p["after"]["lat"].alias("y2"),
+        ))),
+    ).distinct()
+    extent = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    # a zero extent (points only) leaves cells of one unit
+    size = segments.agg(F.coalesce(F.nullif(2 * F.avg(extent), F.lit(0.0)), F.lit(1.0)).alias("size")).scalar()
+
+    entered = _cells(segments, size, "name")
+    meet = (
+        entered.alias("s").join(entered.alias("t"), ["cx", "cy"])
+        .where((F.col("s.name") < F.col("t.name")) & _segments_meet("s", "t"))
+        .select(F.col("s.name").alias("a"), F.col("t.name").alias("b")).distinct()
+    )
+    box = segments.groupBy("name").agg(
+        F.min(F.least("x1", "x2")).alias("x1"), F.min(F.least("y1", "y2")).alias("y1"),
+        F.max(F.greatest("x1", "x2")).alias("x2"), F.max(F.greatest("y1", "y2")).alias("y2"),
+    )
+    corner = segments.groupBy("name").agg(F.min(F.struct("x1", "y1")).alias("p")).select(
+        F.col("name").alias("inner"), F.col("p.x1").alias("px"), F.col("p.y1").alias("py")
+    )
+    spots = corner.withColumn("cx", F.floor(F.col("px") / size)).withColumn("cy", F.floor(F.col("py") / size))
+    covered = (
+        spots.join(_cells(box, size, "name"), ["cx", "cy"])
+        .where((F.col("inner") != F.col("name")) & F.col("px").between(F.col("x1"), F.col("x2")) & F.col("py").between(F.col("y1"), F.col("y2")))
+        .select("inner", "name", "px", "py")
+    )
+    above = (F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))
+    at = F.col("x1") + (F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+    inside = (
+        covered.join(segments, "name").groupBy("inner", "name")
+        .agg(F.count_if(above & (F.col("px") < at)).alias("n")).where("n % 2 = 1")
+        .select(F.least("inner", "name").alias("a"), F.greatest("inner", "name").alias("b"))
+    )
+    pairs = meet.union(inside).distinct()
+    return pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*")
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance on a sphere of 6371.0088 km."""
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2

@@ -89,6 +89,7 @@ def local_attribution(scored: DataFrame, prob: str = "risk_probability", k: int
     return scored.select(
         "county_name",
         "observation_date",
+        "horizon_months",
         F.round(prob, 4).alias("model_risk_probability"),
         elevating_factors(k).alias("risk_elevating_factors"),
         buffering_factors(k).alias("risk_buffering_factors"),

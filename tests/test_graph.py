@@ -136,3 +136,25 @@ def test_input_resolution():
 def test_pivot(spark):
     got = G.value_by_entity(sample(spark), "ndvi_anomaly_lag1", ["Turkana", "Lamu"]).orderBy("observation_date").collect()
     assert [tuple(r) for r in got] == [("2024-01-01", -5.0, None), ("2024-02-01", 2.0, 1.0)]
+
+
+def test_regions_that_touch_in_any_way(spark):
+    def box(name, x1, y1, x2, y2):
+        return name, [[(x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1)]]
+
+    shapes = [
+        box("a", 0.0, 0.0, 2.0, 2.0),
+        box("b", 2.0, 0.5, 4.0, 1.5),  # part of an edge
+        box("c", 4.0, 1.5, 5.0, 3.0),  # a corner
+        box("d", 1.0, 1.0, 3.0, 3.0),  # crosses a and b
+        box("e", 0.25, 0.25, 0.5, 0.5),  # inside a
+        box("f", 9.0, 9.0, 9.5, 9.5),
+        ("g", [[(2.0, 2.0)]]),  # a point on the corner of a, inside d
+        ("h", []),
+        (None, [[(0.0, 0.0), (1.0, 1.0)]]),
+    ]
+    frame = spark.createDataFrame(shapes, "name string, rings array<array<struct<lon: double, lat: double>>>")
+    want = {("a", "b"), ("b", "c"), ("a", "d"), ("b", "d"), ("a", "e"), ("a", "g"), ("d", "g")}
+    got = {tuple(r) for r in G.polygon_contiguity(frame).collect()}
+    assert got == want | {(q, p) for p, q in want}
+    assert G.polygon_contiguity(frame.limit(0)).collect() == []
