@@ -81,8 +81,8 @@ def held_out() -> Column:
 def _sample(docs: DataFrame, most: int) -> DataFrame:
     total = docs.groupBy("lang").agg(F.count("*").alias("_n"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # one row for each language: far below any broadcast limit, but left to the optimizer
-    return docs.join(total, "lang").where(draw < F.lit(float(most)) / F.col("_n")).drop("_n")
+    # one row for each language, as many as the model has columns; texts are not shuffled for it
+    return docs.join(F.broadcast(total), "lang").where(draw < F.lit(float(most)) / F.col("_n")).drop("_n")
 
 
 def fit(docs: DataFrame, most: int = TRAIN_ROWS) -> LanguageModel:

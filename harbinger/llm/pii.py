@@ -68,9 +68,13 @@ def luhn(digits: str) -> bool:
 
 def detect(text: str | None) -> list[dict]:
     """Entities in order of place; where two overlap the earlier, then the earlier kind, stays."""
-    found = []
+    text, found = text or "", []
+    digits = DIGIT.search(text) is not None
     for rank, (kind, pattern) in enumerate(_COMPILED.items()):
-        for m in pattern.finditer(text or ""):
+        # no match is possible without the character that the pattern must hold
+        if not ("@" in text if kind == "email" else digits or kind == "name"):
+            continue
+        for m in pattern.finditer(text):
             group = 1 if kind == "name" else 0
             title = m.group(0)[: m.start(1) - m.start()].strip(" .").lower() + ":" if group else ""
             found.append((m.start(group), rank, m.end(group), kind, title + m.group(group)))
@@ -83,6 +87,7 @@ def detect(text: str | None) -> list[dict]:
     return out
 
 
+DIGIT = re.compile("[0-9]")
 _COMPILED = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
 
 
