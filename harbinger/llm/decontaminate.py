@@ -15,9 +15,10 @@ shuffle. Item counts and lengths are taken over all shards, so shards do not cha
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -76,6 +77,11 @@ class Index:
     answer: list[np.ndarray]
     span: int
 
+    @cached_property
+    def lists(self) -> tuple[list, list, list, list]:
+        """Postings and blocks as lists, which a loop over single entries reads faster."""
+        return self.item.tolist(), self.part.tolist(), self.block.tolist(), self.block_top.tolist()
+
 
 def _postings(items: DataFrame) -> DataFrame:
     def run(batches):
@@ -195,21 +201,29 @@ class TermIds(dict):
         return np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
 
 
-def block_max_wand(query: np.ndarray, index: Index, theta: float) -> list[tuple[int, float]]:
+def block_max_wand(
+    query: np.ndarray, index: Index, theta: float, blocks: list[int] | None = None
+) -> list[tuple[int, float]]:
     """(item number, share) of every item whose share reaches theta, items ascending.
 
     ``query`` holds distinct term numbers. The pivot is the first list, by current item,
     at which the term maxima reach theta; its block maxima decide whether the pivot is
-    scored or the whole block skipped.
+    scored or the whole block skipped. ``blocks`` names the only blocks whose maxima can
+    reach theta, where the caller has summed them already; all lists then jump there.
     """
+    item, part, block_of, tops = index.lists
     ends = index.at[query + 1].tolist()
     place = index.at[query].tolist()
     block_end = index.block_at[query + 1].tolist()
     block_place = index.block_at[query].tolist()
     top = index.top[query].tolist()
-    item, part, blocks, tops = index.item, index.part, index.block, index.block_top
     slack = theta - 1e-9
-    live = [k for k in range(len(query)) if place[k] < ends[k]]
+    live = range(len(query))
+    if blocks is not None:
+        first = blocks[0] * BLOCK
+        for k in live:
+            place[k] = bisect_left(item, first, place[k], ends[k])
+    live = [k for k in live if place[k] < ends[k]]
     out = []
     while live:
         live.sort(key=lambda k: item[place[k]])
@@ -221,26 +235,33 @@ def block_max_wand(query: np.ndarray, index: Index, theta: float) -> list[tuple[
                 break
         if pivot < 0:
             break
-        target = int(item[place[live[pivot]]])
+        target = item[place[live[pivot]]]
+        block = target // BLOCK
+        if blocks is not None:
+            at = bisect_left(blocks, block)
+            if at == len(blocks):
+                break
+            if blocks[at] > block:
+                target = blocks[at] * BLOCK
+                for k in live:
+                    place[k] = bisect_left(item, target, place[k], ends[k])
+                live = [k for k in live if place[k] < ends[k]]
+                continue
         while pivot + 1 < len(live) and item[place[live[pivot + 1]]] == target:
             pivot += 1
-        block = target // BLOCK
         bound = 0.0
         for k in live[: pivot + 1]:
-            b = block_place[k]
-            while b < block_end[k] and blocks[b] < block:
-                b += 1
-            block_place[k] = b
-            if b < block_end[k] and blocks[b] == block:
+            b = block_place[k] = bisect_left(block_of, block, block_place[k], block_end[k])
+            if b < block_end[k] and block_of[b] == block:
                 bound += tops[b]
         if bound < slack:
             # nothing before the next block, or before the next list begins, can qualify
             target = (block + 1) * BLOCK
             if pivot + 1 < len(live):
-                target = min(target, int(item[place[live[pivot + 1]]]))
+                target = min(target, item[place[live[pivot + 1]]])
             moved = live[: pivot + 1]
         elif item[place[live[0]]] == target:
-            share = sum(float(part[place[k]]) for k in live[: pivot + 1])
+            share = sum(part[place[k]] for k in live[: pivot + 1])
             if share >= slack:
                 out.append((target, share))
             moved = live[: pivot + 1]
@@ -248,13 +269,13 @@ def block_max_wand(query: np.ndarray, index: Index, theta: float) -> list[tuple[
         else:
             moved = [k for k in live[: pivot + 1] if item[place[k]] < target]
         for k in moved:
-            place[k] += int(np.searchsorted(item[place[k] : ends[k]], target))
+            place[k] = bisect_left(item, target, place[k], ends[k])
         live = [k for k in live if place[k] < ends[k]]
     return out
 
 
-def promising(ids: np.ndarray, index: Index, theta: float) -> np.ndarray:
-    """Starts (in spans) of the windows of a text in which some block can reach theta.
+def promising(ids: np.ndarray, index: Index, theta: float) -> dict[int, list[int]]:
+    """Windows of a text (by their start, in spans) with the blocks that can reach theta there.
 
     For all windows at once: block maxima of the rarer terms present, plus the most that
     the block's common terms can add.
@@ -262,7 +283,7 @@ def promising(ids: np.ndarray, index: Index, theta: float) -> np.ndarray:
     spot = np.flatnonzero(ids >= 0)
     spot = spot[index.essential[ids[spot]]]
     if not len(spot):
-        return np.empty(0, np.int64)
+        return {}
     segment, term = spot // index.span, ids[spot]
     last = max(0, (len(ids) - 1) // index.span - 1)
     window = np.concatenate([np.minimum(segment, last), segment - 1])
@@ -275,7 +296,10 @@ def promising(ids: np.ndarray, index: Index, theta: float) -> np.ndarray:
     cell = np.repeat(window, many) * len(index.rest) + index.block[line]
     cells, back = np.unique(cell, return_inverse=True)
     bound = np.bincount(back, index.block_top[line]) + index.rest[cells % len(index.rest)]
-    return np.unique(cells[bound >= theta - 1e-9] // len(index.rest))
+    out: dict[int, list[int]] = {}
+    for c in cells[bound >= theta - 1e-9].tolist():
+        out.setdefault(c // len(index.rest), []).append(c % len(index.rest))
+    return out
 
 
 def search_text(text: str | None, index: Index, numbers: TermIds, words: WordHashes, theta: float) -> list[dict]:
@@ -287,10 +311,10 @@ def search_text(text: str | None, index: Index, numbers: TermIds, words: WordHas
         raw = [w for w, k in zip(raw, keep.tolist(), strict=True) if k]
         ids = ids[keep]
     best: dict[int, dict] = {}
-    for window in promising(ids, index, theta).tolist():
+    for window, blocks in promising(ids, index, theta).items():
         start = window * index.span
         part = ids[start : start + 2 * index.span]
-        found = block_max_wand(np.unique(part[part >= 0]), index, theta)
+        found = block_max_wand(np.unique(part[part >= 0]), index, theta, blocks)
         if not found:
             continue
         h = words.of([w.strip(EDGES) for w in raw[start : start + 2 * index.span]])
@@ -319,7 +343,8 @@ def _search(held: Broadcast, theta: float):
         for part in parts:
             yield pd.Series([search_text(t, held.value, numbers, words, theta) for t in part], dtype=object)
 
-    return search
+    # what follows may name the result twice; the search must still run once
+    return search.asNondeterministic()
 
 
 def with_matches(docs: DataFrame, shards: list[Index], name: str = "matches", theta: float = SHARE) -> DataFrame:
