@@ -3,7 +3,8 @@
 The kernel of two units (words) counts the three-character subsequences they share,
 each occurrence weighted DECAY ** span, as gap-weighted subsequence kernels do; spans go
 up to SPAN characters, so up to three characters may be inserted between the three.
-The normalised kernel is raised to POWER (a product of kernels is a kernel). Units are
+The normalised kernel is raised to POWER (a product of kernels is a kernel) and taken as
+0 below FAINT, so that most words are remembered without a vector. Units are
 the words of a text without outer punctuation, with marks for their start and end, which
 are matched like characters; single characters in a row
 ("x y z") are joined first, and words over WIDTH characters are read through
@@ -14,8 +15,8 @@ mapped by the inverse root of the landmark matrix. A linear SVM is fitted on sen
 those that look worst in each training document, first by kernel value, then in ROUNDS
 by the margin of the last fit, carry the label of their document. Each also appears with
 a character inserted into its words. A document's score is a logistic regression, fitted
-on training documents, on its three highest sentence margins and the log of the sum of
-its margins above -1 (long clean texts hold a chance likeness, not several).
+on training documents, on its three highest sentence margins and the log of how far its
+WORST highest ones exceed -1 (long clean texts hold a chance likeness, not several).
 
 Landmarks are the units that mark label 1 most clearly in the training rows, each unlike
 those before it, and common units of label 0. Training reads at most TRAIN_ROWS labelled
@@ -39,12 +40,14 @@ from pyspark.sql import functions as F
 from harbinger.llm.common import bound_batches, settle, texts
 
 TRAIN_ROWS = 4000
+# the sample is bounded, so are the tasks of each step of a fit
+FIT_PARTS = 12
 MARKED, COMMON, CONSIDERED, ALIKE = 120, 8, 600, 0.8
 LEAST_DOCS, LEAST_Z = 4, 5.0
-TOP = 3
+TOP, WORST = 3, 8
 ROUNDS = 2
-DECAY, SPAN, WIDTH, POWER = 0.7, 6, 20, 3
-CACHE_UNITS = 120_000
+DECAY, SPAN, WIDTH, POWER, FAINT = 0.7, 6, 20, 3, 0.03
+CACHE_UNITS = 300_000
 SYMBOLS = 64
 START, END = "\x02", "\x03"
 OUTER = " \t.,;:!?\"'()[]{}<>|*$%&#_-/\\~`^+="
@@ -133,25 +136,23 @@ class Kernel:
 
     def __init__(self, landmarks: list[str]):
         self.m = len(landmarks)
-        seen: dict[int, int] = {}
-        rows: list[np.ndarray] = []
-        norms = np.zeros(self.m)
+        found: dict[int, list[tuple[int, float]]] = {}
         for at, mark in enumerate(landmarks):
             mine: dict[int, float] = {}
             if len(mark) >= 3:
                 for codes, weight in _triples(_codes([mark], len(mark))):
                     for c in codes[0].tolist():
                         mine[c] = mine.get(c, 0.0) + weight
-            norms[at] = np.sqrt(sum(v * v for v in mine.values())) or 1.0
+            norm = np.sqrt(sum(v * v for v in mine.values())) or 1.0
             for c, v in mine.items():
-                if c not in seen:
-                    seen[c] = len(rows)
-                    rows.append(np.zeros(self.m, np.float32))
-                rows[seen[c]][at] = v / norms[at]
-        self.place = np.full(SYMBOLS**3, len(rows), np.int32)
-        for c, r in seen.items():
-            self.place[c] = r
-        self.table = np.vstack([*rows, np.zeros(self.m, np.float32)]) if rows else np.zeros((1, self.m), np.float32)
+                found.setdefault(c, []).append((at, v / norm))
+        # postings of each triple: landmark and weight, by a row number; the last row is empty
+        self.place = np.full(SYMBOLS**3, len(found), np.int32)
+        self.place[list(found)] = np.arange(len(found))
+        self.ends = np.cumsum([0, *map(len, found.values()), 0])
+        pairs = [p for posting in found.values() for p in posting]
+        self.mark = np.array([p[0] for p in pairs], np.int64)
+        self.weight = np.array([p[1] for p in pairs], np.float64)
 
     def values(self, units: list[str]) -> np.ndarray:
         parts = [self._values(units[i : i + 8192]) for i in range(0, len(units), 8192)]
@@ -165,32 +166,35 @@ class Kernel:
                 continue
             at = np.flatnonzero(lengths == length)
             codes = _codes([units[i] for i in at], int(length))
-            kernel = np.zeros((len(at), self.m), np.float32)
             all_codes, all_weights = [], []
             for triple, weight in _triples(codes):
                 all_codes.append(triple)
-                all_weights.append(np.full(triple.shape[1], weight, np.float32))
+                all_weights.append(np.full(triple.shape[1], weight))
             triple, weight = np.concatenate(all_codes, 1), np.concatenate(all_weights)
-            spot = self.place[triple]
-            who, col = np.nonzero(spot < len(self.table) - 1)
+            row = self.place[triple]
+            who, col = np.nonzero(row < len(self.ends) - 2)
             if not len(who):
                 continue
-            part = self.table[spot[who, col]] * weight[col][:, None]
-            first = np.flatnonzero(np.diff(who, prepend=-1))
-            kernel[who[first]] = np.add.reduceat(part, first, 0)
-            hit = who[first]
+            row = row[who, col]
+            many = self.ends[row + 1] - self.ends[row]
+            line = np.repeat(self.ends[row] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            cell = np.repeat(who, many) * self.m + self.mark[line]
+            value = np.repeat(weight[col], many) * self.weight[line]
+            kernel = np.bincount(cell, value, len(at) * self.m).reshape(len(at), self.m)
+            hit = np.unique(who)
             # own norm: equal triples of a unit are summed before squaring
             own = triple[hit]
             order = np.argsort(own, 1, kind="stable")
             own = np.take_along_axis(own, order, 1)
-            w = weight[order].astype(np.float64)
+            w = weight[order]
             total = np.cumsum(w, 1)
             ends = np.concatenate([own[:, 1:] != own[:, :-1], np.ones((len(own), 1), bool)], 1)
             held = np.where(ends, total, 0.0)
             before = np.maximum.accumulate(np.concatenate([np.zeros((len(own), 1)), held[:, :-1]], 1), 1)
             square = (np.where(ends, total - before, 0.0) ** 2).sum(1)
-            kernel[hit] /= np.sqrt(square)[:, None].astype(np.float32)
-            out[at] = np.minimum(kernel, 1) ** POWER
+            kernel[hit] /= np.sqrt(square)[:, None]
+            kernel = np.minimum(kernel, 1) ** POWER
+            out[at] = np.where(kernel < FAINT, 0, kernel)
         return out
 
 
@@ -211,47 +215,51 @@ class Reader:
 
     def reset(self) -> None:
         self.rows = np.zeros((1024, self.kernel.m), np.float32)
+        self.used = 1  # row 0 is that of every word unlike all landmarks
         self.ids: dict[str, int] = {}
 
     def _learn(self, words: list[str]) -> None:
         units, owner = [], []
-        base = len(self.ids)
         for at, word in enumerate(words):
             for u in units_of(self.change(word) if self.change else word):
                 units.append(u)
-                owner.append(base + at)
-            self.ids[word] = base + at
-        need = base + len(words)
+                owner.append(at)
+        values = np.zeros((len(words), self.kernel.m), np.float32)
+        if units:
+            np.maximum.at(values, np.array(owner), self.kernel.values(units))
+        alike = values.any(1)
+        place = np.where(alike, self.used - 1 + np.cumsum(alike), 0)
+        self.ids.update(zip(words, place.tolist(), strict=True))
+        need = self.used + int(alike.sum())
         if need > len(self.rows):
             more = np.zeros((max(need, 2 * len(self.rows)), self.kernel.m), np.float32)
-            more[:base] = self.rows[:base]
+            more[: self.used] = self.rows[: self.used]
             self.rows = more
-        if units:
-            np.maximum.at(self.rows, np.array(owner), self.kernel.values(units))
+        self.rows[self.used : need] = values[alike]
+        self.used = need
 
     def read(self, text: str | None) -> np.ndarray:
         """One row of best kernel values for each sentence."""
         found = [s for s in sentences_of(text) if s]
+        out = np.zeros((len(found), self.kernel.m), np.float32)
         if not found:
-            return np.zeros((0, self.kernel.m), np.float32)
+            return out
         if len(self.ids) > CACHE_UNITS:
             self.reset()
         words = [w for s in found for w in s]
-        new = list({w for w in words if w not in self.ids})
-        if new:
-            self._learn(new)
+        new = set(words).difference(self.ids)
+        for part in (list(new)[i : i + 8192] for i in range(0, len(new), 8192)):
+            self._learn(part)
         spots = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-        starts = np.zeros(len(found), np.int64)
-        np.cumsum([len(s) for s in found[:-1]], out=starts[1:])
-        out = np.empty((len(found), self.kernel.m), np.float32)
-        step = 20_000  # words at a time, however long the text
-        if len(words) <= step:
-            return np.maximum.reduceat(self.rows[spots], starts, 0)
-        for i, (s, n) in enumerate(zip(starts.tolist(), map(len, found), strict=True)):
-            best = np.zeros(self.kernel.m, np.float32)
-            for a in range(s, s + n, step):
-                np.maximum(best, self.rows[spots[a : min(a + step, s + n)]].max(0), out=best)
-            out[i] = best
+        at = np.flatnonzero(spots)
+        if len(at):
+            sentence = np.repeat(np.arange(len(found)), [len(s) for s in found])[at]
+            for i in range(0, len(at), 20_000):  # so many words at a time, however long the text
+                part, own = at[i : i + 20_000], sentence[i : i + 20_000]
+                first = np.flatnonzero(np.diff(own, prepend=-1))
+                best = np.maximum.reduceat(self.rows[spots[part]], first, 0)
+                np.maximum(out[own[first]], best, out=best)
+                out[own[first]] = best
         return out
 
 
@@ -308,15 +316,16 @@ def stretch(word: str) -> str:
 
 
 def sentence_vectors(rows: DataFrame, landmarks: list[str], marked: int, label: str) -> DataFrame:
-    """(doc_id, y, at, worst, x, z): vectors of each sentence, as written and stretched.
+    """(doc_id, y, at, worst, x, z): vectors of sentences, as written and stretched.
 
-    ``worst`` is the best kernel value against a marking landmark.
+    ``worst`` is the best kernel value against a marking landmark; the WORST sentences of
+    a training document are its candidates, so what is stored is bounded by the sample.
     """
     root = root_inverse(landmarks).astype(np.float32)
     m = len(landmarks)
 
     def lists(parts):
-        flat = np.concatenate(parts).astype(np.float64) if parts else np.zeros((0, m))
+        flat = np.concatenate(parts) if parts else np.zeros((0, m), np.float32)
         ends = np.arange(0, flat.size + 1, m, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))
 
@@ -326,12 +335,16 @@ def sentence_vectors(rows: DataFrame, landmarks: list[str], marked: int, label:
             ids, ys, at, worst, xs, zs = [], [], [], [], [], []
             for i, y, text in zip(batch.column("doc_id"), batch.column("y"), texts(batch), strict=True):
                 x = plain.read(text)
-                ids.extend([i.as_py()] * len(x))
-                ys.extend([float(y.as_py())] * len(x))
-                at.extend(range(len(x)))
-                worst.extend(x[:, :marked].max(1).astype(float).tolist())
-                xs.append(x @ root)
-                zs.append(bent.read(text) @ root)
+                if not len(x):
+                    continue
+                value = x[:, :marked].max(1)
+                first = np.argsort(-value, kind="stable")[:WORST]
+                ids.extend([i.as_py()] * len(first))
+                ys.extend([float(y.as_py())] * len(first))
+                at.extend(first.tolist())
+                worst.extend(value[first].astype(float).tolist())
+                xs.append((x @ root)[first])
+                zs.append((bent.read(text) @ root)[first])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
@@ -345,11 +358,11 @@ def sentence_vectors(rows: DataFrame, landmarks: list[str], marked: int, label:
             )
 
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"), "text")
-    return rows.mapInArrow(run, "doc_id long, y double, at int, worst double, x array<double>, z array<double>")
+    return rows.mapInArrow(run, "doc_id long, y double, at int, worst double, x array<float>, z array<float>")
 
 
 def _margin(x: str, weights: list[float], intercept: float) -> Column:
-    each = F.zip_with(x, F.array(*map(F.lit, weights)), lambda a, b: a * b)
+    each = F.zip_with(x, F.array(*map(F.lit, weights)), lambda a, b: a.cast("double") * b)
     return F.aggregate(each, F.lit(0.0), lambda s, v: s + v) + F.lit(intercept)
 
 
@@ -359,20 +372,21 @@ def fit(train: DataFrame, label: str = "toxic") -> ToxicModel:
     With no row of either label, or no unit that marks label 1, every text scores 0.
     """
     bound_batches(train.sparkSession)
-    train = settle(train)
+    train = settle(train).coalesce(FIT_PARTS)
     marked, common = choose_landmarks(train, label)
     if not marked:
         return ToxicModel([], [], 0.0, [0.0] * (TOP + 1), -50.0)
     marks = marked + common
-    vectors = settle(sentence_vectors(train, marks, len(marked), label))
+    vectors = settle(sentence_vectors(train, marks, len(marked), label)).coalesce(FIT_PARTS)
     rank = F.col("worst")
     for _ in range(ROUNDS):
         order = Window.partitionBy("doc_id").orderBy(F.desc("_rank"), "at")
         ranked = vectors.withColumn("_rank", rank).withColumn("_n", F.row_number().over(order))
         top = ranked.where(F.col("_n") <= TOP)
         points = top.select("y", F.explode(F.array("x", "z")).alias("x"))
-        points = settle(points.select("y", array_to_vector("x").alias("features")))
-        svm = LinearSVC(labelCol="y", maxIter=80, regParam=1e-4, standardization=False).fit(points)
+        points = points.select("y", array_to_vector(F.col("x").cast("array<double>")).alias("features"))
+        points = settle(points).coalesce(FIT_PARTS)
+        svm = LinearSVC(labelCol="y", maxIter=60, tol=1e-4, regParam=1e-4, standardization=False).fit(points)
         w = [float(v) for v in svm.coefficients.toArray()]
         rank = _margin("x", w, float(svm.intercept))
     margins = vectors.select("doc_id", "y", rank.alias("m"))
@@ -382,8 +396,8 @@ def fit(train: DataFrame, label: str = "toxic") -> ToxicModel:
     each = [F.coalesce(F.max(F.when(F.col("n") == i, F.col("m"))), F.lit(floor)) for i in range(1, TOP + 1)]
     excess = F.log1p(F.sum(F.greatest(F.col("m") + 1, F.lit(0.0))))
     best = tops.groupBy("doc_id", "y").agg(F.array(*each, excess).alias("f"))
-    curve = LogisticRegression(labelCol="y", maxIter=80, regParam=1e-4).fit(
-        best.select("y", array_to_vector("f").alias("features"))
+    curve = LogisticRegression(labelCol="y", maxIter=60, tol=1e-5, regParam=1e-4).fit(
+        settle(best.select("y", array_to_vector("f").alias("features"))).coalesce(FIT_PARTS)
     )
     return ToxicModel(marks, w, floor, [float(v) for v in curve.coefficients.toArray()], float(curve.intercept))
 
@@ -391,9 +405,9 @@ def fit(train: DataFrame, label: str = "toxic") -> ToxicModel:
 def document_features(margins: np.ndarray, floor: float) -> np.ndarray:
     """The highest margins, ``floor`` where a text has fewer, and the log of their excess."""
     top = np.full(TOP + 1, floor)
-    best = np.sort(margins)[::-1][:TOP]
-    top[: len(best)] = best
-    top[TOP] = np.log1p(np.maximum(margins + 1, 0).sum())
+    best = np.sort(margins)[::-1][:WORST]
+    top[: min(TOP, len(best))] = best[:TOP]
+    top[TOP] = np.log1p(np.maximum(best + 1, 0).sum())
     return top
 
 
@@ -420,7 +434,8 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
                 out.append(1.0 / (1.0 + float(np.exp(-np.clip(z, -500, 500)))))
             yield pd.Series(out, dtype=float)
 
-    return docs.withColumn("toxic_score", scored(F.col("text").cast("string")))
+    # score and decision both name the result; the kernel must still run once
+    return docs.withColumn("toxic_score", scored.asNondeterministic()(F.col("text").cast("string")))
 
 
 def held_out() -> Column:
