@@ -28,6 +28,8 @@ from harbinger.llm.common import BATCH_ROWS, bound_batches, byte_words, clean_co
 
 TRAIN_ROWS, POOL_ROWS = 3000, 4000
 ROUNDS, CONFIDENT = 3, 400
+# the samples are bounded, so are the tasks of each step of a fit
+FIT_PARTS = 12
 WORD_SLOTS, NAME_SLOTS = 256, 64
 PUNCTUATION = b".,;:!?"
 MARKS = b"#*$%&|<>=+_~^@"
@@ -139,13 +141,13 @@ def _logit(x: str, weights: np.ndarray) -> Column:
 
 def _regression(rows: DataFrame, x: str) -> np.ndarray:
     points = rows.select("y", array_to_vector(x).alias("features"))
-    fit = LogisticRegression(labelCol="y", fitIntercept=False, standardization=False, regParam=1e-3, maxIter=50).fit(points)
+    fit = LogisticRegression(labelCol="y", fitIntercept=False, standardization=False, regParam=1e-3, maxIter=50, tol=1e-5).fit(points)
     return fit.coefficients.toArray()
 
 
 def _curve(rows: DataFrame, columns: list[Column]) -> np.ndarray:
     points = rows.select("y", array_to_vector(F.array(*columns)).alias("features"))
-    fit = LogisticRegression(labelCol="y", regParam=1e-3, maxIter=50).fit(points)
+    fit = LogisticRegression(labelCol="y", regParam=1e-3, maxIter=50, tol=1e-5).fit(points)
     return np.append(fit.coefficients.toArray(), fit.intercept)
 
 
@@ -161,10 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> QualityMo
     # at most about TRAIN_ROWS ids of each label
     chosen = F.broadcast(known.where(~held_out() & share))
     rows = _columns(docs).where("doc_id is not null")
-    labelled = settle(_views(rows.join(chosen, "doc_id").dropDuplicates(["doc_id"])))
+    labelled = settle(_views(rows.join(chosen, "doc_id").dropDuplicates(["doc_id"]))).coalesce(FIT_PARTS)
     total = rows.count()
     pool = rows.where(_draw(POOL_ROWS, total, "pool") & ~held_out()).join(known.select("doc_id"), "doc_id", "left_anti")
-    pool = settle(_views(pool.dropDuplicates(["doc_id"])))
+    pool = settle(_views(pool.dropDuplicates(["doc_id"]))).coalesce(FIT_PARTS)
 
     # one labelled row in four is for calibration alone
     kept = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0
@@ -185,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> QualityMo
             marked = pool.select(pupil, "doc_id", _logit(teacher, weights[teacher]).alias("z"))
             best = marked.orderBy(F.desc("z"), "doc_id").limit(n1 * (step + 1)).where("z > 0")
             worst = marked.orderBy("z", "doc_id").limit((CONFIDENT - n1) * (step + 1)).where("z < 0")
-            extra[pupil] = settle(best.select(F.lit(1.0).alias("y"), pupil).union(worst.select(F.lit(0.0), pupil)))
+            extra[pupil] = settle(best.select(F.lit(1.0).alias("y"), pupil).union(worst.select(F.lit(0.0), pupil))).coalesce(1)
     za, zb = _logit("a", weights["a"]), _logit("b", weights["b"])
     ca, cb = _curve(check, [za]), _curve(check, [zb])
     blend = _curve(check, [za * float(ca[0]) + float(ca[1]), zb * float(cb[0]) + float(cb[1])])
