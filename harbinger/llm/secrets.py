@@ -126,9 +126,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id and ``spans``: array of (start, rank, stop, kind), in that order, for every row."""
     scanned, kept = _reported(docs)
     per = kept.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "rank", "stop", "kind"))).alias("spans"))
-    out = scanned.select("doc_id", *KEY).join(per, KEY, "left")
     none = F.array().cast("array<struct<start:bigint,rank:int,stop:bigint,kind:string>>")
-    return out.select("doc_id", F.coalesce("spans", none).alias("spans"))
+    out = scanned.where(F.col("h1").isNotNull()).select("doc_id", *KEY).join(per, KEY, "left")
+    # texts without any match have no key and need no join
+    plain = scanned.where(F.col("h1").isNull()).select("doc_id", none.alias("spans"))
+    return out.select("doc_id", F.coalesce("spans", none).alias("spans")).union(plain)
 
 
 def _written(spans: Column) -> Column:
