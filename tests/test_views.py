@@ -154,8 +154,9 @@ def test_latest_and_entity_risk(spark):
     assert R.latest_risk(long_rows(spark), horizon=None).count() == 6
     one = R.entity_risk(long_rows(spark), "TURKANA").collect()
     assert len(one) == 1 and one[0]["date"] == "2024-11-01"
-    with pytest.raises(LookupError, match="Lamu"):
+    with pytest.raises(LookupError, match="Atlantis"):
         R.require_entity(long_rows(spark), "Atlantis")
+    assert "Lamu" in [r[0] for r in R.available_entities(long_rows(spark)).collect()]
 
 
 def test_model_choice(spark):
