@@ -5,12 +5,11 @@ matches put back between the pieces, gives every position; lengths alone leave t
 one row for each match, and a running sum turns them into starts and ends (code points).
 Texts that are exact copies are worked on once.
 
-Weak parts (account identifiers, opaque runs, endpoints) mean little alone. Every part is
-entered under the scope (SCOPE characters of the text) it starts in, and an interval join
-looks in that scope and its neighbours for a complementary part no more than SCOPE
-characters away: a secret for an identifier or endpoint, either of these for a secret.
-Weak parts without one, and those that overlap a base finding, are not reported. The
-join is a semi-join within scopes of bounded length, so no pairs are formed.
+Weak parts (account identifiers, opaque runs, endpoints) mean little alone. A window over
+the starts and ends of all parts of a text looks for a complementary part no more than
+SCOPE characters away: a secret for an identifier or endpoint, either of these for a
+secret. A part of any length is met at both its ends. Weak parts without one, and those
+that overlap a base finding, are not reported. No pairs are formed.
 
 Null texts are empty texts. Repeated rows give repeated rows.
 """
@@ -95,24 +94,30 @@ def _located(scanned: DataFrame) -> DataFrame:
 
 def _linked(parts: DataFrame) -> DataFrame:
     """Weak parts with a complementary part within SCOPE and no base finding over them."""
-    scope = F.floor(F.col("start") / SCOPE)
-    left = parts.where(~F.col("kind").isin(*BASE)).withColumn("scope", scope)
-    around = F.explode(F.sequence(F.floor(F.col("start") / SCOPE) - 1, F.floor(F.col("stop") / SCOPE) + 1))
-    right = parts.select(
-        *KEY,
-        around.alias("scope"),
-        F.col("role").alias("_role"),
-        F.col("kind").isin(*BASE).alias("_base"),
-        F.col("start").alias("_start"),
-        F.col("stop").alias("_stop"),
+    secret = F.col("role") == "secret"
+    ends = F.array(
+        F.struct(F.col("start").alias("at"), F.lit(True).alias("first")),
+        F.struct(F.col("stop").alias("at"), F.lit(False).alias("first")),
+    )
+    each = parts.repartition(*KEY).select("*", F.explode(ends).alias("e")).select("*", "e.at", "e.first").drop("e")
+    along = Window.partitionBy(*KEY).orderBy("at")
+
+    def any_of(first: Column, frame) -> Column:
+        """Whether ends of the complementary role lie in a frame."""
+        found = lambda role: F.coalesce(F.max(first & role).over(frame), F.lit(False))
+        return F.when(secret, found(~secret)).otherwise(found(secret))
+
+    # parts that end at most SCOPE before a start, or start at most SCOPE after an end
+    near = F.when(F.col("first"), any_of(~F.col("first"), along.rangeBetween(-SCOPE, 0))).otherwise(
+        any_of(F.col("first"), along.rangeBetween(0, SCOPE))
     )
-    same = [left[k] == right[k] for k in [*KEY, "scope"]]
-    over = (F.col("_start") < F.col("stop")) & (F.col("start") < F.col("_stop"))
-    free = left.join(right, [*same, F.col("_base") & over], "left_anti")
-    gap = F.greatest(F.col("_start") - F.col("stop"), F.col("start") - F.col("_stop"))
-    complement = (F.col("role") == "secret") != (F.col("_role") == "secret")
-    same = [free[k] == right[k] for k in [*KEY, "scope"]]
-    return free.join(right, [*same, complement & ~over & (gap <= SCOPE)], "left_semi").drop("scope")
+    # the farthest end of the base findings that start before this end
+    base = F.when(F.col("kind").isin(*BASE) & F.col("first"), F.col("stop"))
+    reach = F.max(base).over(along.rangeBetween(Window.unboundedPreceding, -1))
+    over = ~F.col("first") & F.coalesce(reach > F.col("start"), F.lit(False))
+    each = each.select(*parts.columns, near.alias("_near"), over.alias("_over")).where(~F.col("kind").isin(*BASE))
+    each = each.groupBy(*parts.columns).agg(F.max("_near").alias("_near"), F.max("_over").alias("_over"))
+    return each.where(F.col("_near") & ~F.col("_over")).select(*parts.columns)
 
 
 def _reported(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
