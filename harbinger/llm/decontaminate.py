@@ -69,7 +69,7 @@ class Index:
     block_at: np.ndarray
     block: np.ndarray
     block_top: np.ndarray
-    essential: np.ndarray  # terms rare enough to drive the search
+    essential: np.ndarray  # terms that drive the search: no item reaches SHARE without one
     rest: np.ndarray  # by block: most that other terms can add
     own: np.ndarray  # own score of each item
     ids: np.ndarray  # item_id by number
@@ -149,8 +149,7 @@ def _shard(postings: pd.DataFrame, body: pd.DataFrame, n_items: int, span: int)
     df[term] = postings["df"].to_numpy()[order]
     block = number // BLOCK
     first = np.flatnonzero(np.diff(term * (block.max() + 1) + block, prepend=-1))
-    essential = df <= max(1.0, COMMON_SHARE * n_items)
-    common = np.bincount(number, np.where(essential[term], 0, part), len(ids))
+    essential, common = _essential(df, at, number, part, len(ids), n_items)
     rest = np.zeros(block.max() + 1)
     np.maximum.at(rest, np.arange(len(ids)) // BLOCK, common)
     text = dict(zip(body["item_id"], body["text"], strict=True))
@@ -177,6 +176,25 @@ def _shard(postings: pd.DataFrame, body: pd.DataFrame, n_items: int, span: int)
     )
 
 
+def _essential(
+    df: np.ndarray, at: np.ndarray, number: np.ndarray, part: np.ndarray, items: int, n_items: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(terms that drive the search, by item what its other terms add).
+
+    From the most common down, terms of more than COMMON_SHARE of the items are left
+    out of the search as long as no item reaches SHARE by such terms alone.
+    """
+    essential = np.ones(len(df), bool)
+    common = np.zeros(items)
+    many = np.flatnonzero(df > max(1.0, COMMON_SHARE * n_items))
+    for t in many[np.argsort(-df[many], kind="stable")].tolist():
+        mine = slice(at[t], at[t + 1])
+        if (common[number[mine]] + part[mine]).max() < SHARE - 1e-6:
+            common[number[mine]] += part[mine]
+            essential[t] = False
+    return essential, common
+
+
 class TermIds(dict):
     """Number of a raw word in the index, -1 if the index lacks it, -2 if it is no word."""
 
@@ -277,15 +295,22 @@ def block_max_wand(
 def promising(ids: np.ndarray, index: Index, theta: float) -> dict[int, list[int]]:
     """Windows of a text (by their start, in spans) with the blocks that can reach theta there.
 
-    For all windows at once: block maxima of the rarer terms present, plus the most that
-    the block's common terms can add.
+    For all windows at once: block maxima of the essential terms present, plus the most
+    that the block's other terms can add. Blocks that the others alone bring to theta (none
+    for a theta of SHARE or more) can reach it in every window that holds a term.
     """
     spot = np.flatnonzero(ids >= 0)
+    last = max(0, (len(ids) - 1) // index.span - 1)
+    alone = np.flatnonzero(index.rest >= theta - 1e-9)
+    open_cells = np.empty(0, np.int64)
+    if len(alone):
+        segment = np.unique(spot // index.span)
+        held = np.unique(np.concatenate([np.minimum(segment, last), segment[(segment >= 1) & (segment <= last + 1)] - 1]))
+        open_cells = (held[:, None] * len(index.rest) + alone).ravel()
     spot = spot[index.essential[ids[spot]]]
-    if not len(spot):
+    if not len(spot) and not len(open_cells):
         return {}
     segment, term = spot // index.span, ids[spot]
-    last = max(0, (len(ids) - 1) // index.span - 1)
     window = np.concatenate([np.minimum(segment, last), segment - 1])
     term = np.concatenate([term, term])
     ok = (window >= 0) & (window <= last)
@@ -297,7 +322,7 @@ def promising(ids: np.ndarray, index: Index, theta: float) -> dict[int, list[int
     cells, back = np.unique(cell, return_inverse=True)
     bound = np.bincount(back, index.block_top[line]) + index.rest[cells % len(index.rest)]
     out: dict[int, list[int]] = {}
-    for c in cells[bound >= theta - 1e-9].tolist():
+    for c in np.union1d(cells[bound >= theta - 1e-9], open_cells).tolist():
         out.setdefault(c // len(index.rest), []).append(c % len(index.rest))
     return out
 

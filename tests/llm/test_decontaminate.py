@@ -58,6 +58,43 @@ def test_finds_planted_items_only(spark):
     assert found == {(d, d % 37) for d, _ in docs if d % 4 == 0}
 
 
+def searched(spark, items, docs, theta):
+    """(found by way of promising windows, found by scoring every window against every item)."""
+    (index,) = build_index(spark.createDataFrame(items, "item_id long, text string"))
+    numbers = TermIds(index.terms)
+    got, want = set(), set()
+    for d, text in enumerate(docs):
+        ids = numbers.of(byte_words(text, lower=True))
+        ids = ids[ids > -2]
+        hot = promising(ids, index, theta)
+        for window in range(max(1, (len(ids) - 1) // index.span)):
+            part = ids[window * index.span : (window + 2) * index.span]
+            query = np.unique(part[part >= 0])
+            score = np.zeros(len(index.ids))
+            for t in query:
+                score[index.item[index.at[t] : index.at[t + 1]]] += index.part[index.at[t] : index.at[t + 1]]
+            want |= {(d, window, n) for n in range(len(score)) if score[n] >= theta - 1e-9}
+            if window in hot:
+                got |= {(d, window, n) for n, _ in block_max_wand(query, index, theta, hot[window])}
+    return got, want
+
+
+def test_items_of_common_words_only(spark):
+    draw = random.Random(8)
+    words = [f"v{i}" for i in range(9)]
+    fill = lambda n: " ".join(f"z{draw.randrange(10**6)}" for _ in range(n))
+    twins = [(i, f"alpha beta gamma delta epsilon {i // 2}x. answer {i // 2}y here.") for i in range(8)]
+    templated = [(i, f"what is {' plus '.join(draw.choices(words, k=4))}. {draw.choice(words)}.") for i in range(150)]
+    for items in (twins, templated):
+        docs = [f"{fill(draw.randint(0, 90))} {items[draw.randrange(len(items))][1]} {fill(draw.randint(0, 90))}" for _ in range(25)]
+        for theta in (SHARE, 0.3):
+            got, want = searched(spark, items, docs, theta)
+            assert want and got == want
+    docs = spark.createDataFrame([(1, "so " + twins[4][1]), (2, "nothing of it")], "doc_id long, text string")
+    table = spark.createDataFrame(twins, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, table).collect()} == {(1, 4), (1, 5)}
+
+
 def test_odd_rows(spark, documents, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (3, "one"), (None, "x y")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in contaminated(documents, items).collect()}
