@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from harbinger.llm.common import CACHE_WORDS, WordHashes, bound_batches, byte_words, rolling, settle, texts
@@ -72,7 +72,7 @@ class Index:
     essential: np.ndarray  # terms that drive the search: no item reaches SHARE without one
     rest: np.ndarray  # by block: most that other terms can add
     own: np.ndarray  # own score of each item
-    ids: np.ndarray  # item_id by number
+    ids: list[int | None]  # item_id by number
     question: list[tuple[int, np.ndarray]]  # shingle width and hashes
     answer: list[np.ndarray]
     span: int
@@ -88,7 +88,7 @@ def _postings(items: DataFrame) -> DataFrame:
         words = WordHashes()
         for batch in batches:
             ids, terms, counts, sizes = [], [], [], []
-            for i, text in zip(batch.column("item_id").to_pylist(), texts(batch), strict=True):
+            for i, text in zip(batch.column("number").to_pylist(), texts(batch), strict=True):
                 h = words.of(plain_words(text))
                 value, count = np.unique(h, return_counts=True)
                 ids.extend([i] * len(value))
@@ -98,22 +98,23 @@ def _postings(items: DataFrame) -> DataFrame:
             flat = np.concatenate(terms) if terms else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(flat), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())],
-                ["item_id", "term", "tf", "words"],
+                ["number", "term", "tf", "words"],
             )
 
-    return items.mapInArrow(run, "item_id long, term long, tf long, words long")
+    return items.mapInArrow(run, "number long, term long, tf long, words long")
 
 
 def build_index(items: DataFrame) -> list[Index]:
-    """The shards of the index over (item_id, text); items without words or id are left out.
+    """The shards of the index over (item_id, text); items without words are left out.
 
-    An item_id given twice keeps its longest text.
+    Each distinct pair of id and text is an item of its own; ids may repeat or be null.
     """
     bound_batches(items.sparkSession)
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
-    rows = rows.groupBy("item_id").agg(F.max_by("text", F.struct(F.length("text"), F.col("text"))).alias("text"))
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    # numbers are given once, in a settled frame
+    rows = settle(rows.distinct().orderBy("item_id", "text").withColumn("number", F.monotonically_increasing_id()))
     postings = settle(_postings(rows))
-    size = postings.select("item_id", "words").distinct().agg(
+    size = postings.select("number", "words").distinct().agg(
         F.count("*").alias("n"), F.avg("words").alias("avg"), F.max("words").alias("longest")
     ).first()
     if not size.n:
@@ -123,21 +124,20 @@ def build_index(items: DataFrame) -> list[Index]:
     norm = K1 * (1 - B + B * F.col("words") / size.avg)
     scored = postings.join(df, "term").withColumn("w", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm))
     shards = -(-postings.count() // SHARD_POSTINGS)
-    scored = settle(scored.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards))))
+    scored = settle(scored.withColumn("shard", F.pmod(F.xxhash64("number"), F.lit(shards))))
     out = []
     for shard in range(shards):
-        mine = scored.where(F.col("shard") == shard).select("item_id", "term", "w", "df").toPandas()
-        held = mine[["item_id"]].drop_duplicates()
-        if not len(held):
+        mine = scored.where(F.col("shard") == shard).select("number", "term", "w", "df").toPandas()
+        if not len(mine):
             continue
-        body = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).toPandas()
+        body = rows.where(F.pmod(F.xxhash64("number"), F.lit(shards)) == shard).collect()
         out.append(_shard(mine, body, size.n, max(LEAST_SPAN, int(size.longest))))
     return out
 
 
-def _shard(postings: pd.DataFrame, body: pd.DataFrame, n_items: int, span: int) -> Index:
-    ids = np.sort(postings["item_id"].unique())
-    number = np.searchsorted(ids, postings["item_id"].to_numpy())
+def _shard(postings: pd.DataFrame, body: list[Row], n_items: int, span: int) -> Index:
+    ids = np.sort(postings["number"].unique())
+    number = np.searchsorted(ids, postings["number"].to_numpy())
     terms, term = np.unique(postings["term"].to_numpy().view(np.uint64), return_inverse=True)
     w = postings["w"].to_numpy()
     own = np.bincount(number, w, len(ids))
@@ -152,9 +152,9 @@ def _shard(postings: pd.DataFrame, body: pd.DataFrame, n_items: int, span: int)
     essential, common = _essential(df, at, number, part, len(ids), n_items)
     rest = np.zeros(block.max() + 1)
     np.maximum.at(rest, np.arange(len(ids)) // BLOCK, common)
-    text = dict(zip(body["item_id"], body["text"], strict=True))
+    row = {r["number"]: r for r in body}
     words = WordHashes()
-    split = [split_item(text[i]) for i in ids.tolist()]
+    split = [split_item(row[i]["text"]) for i in ids.tolist()]
     asked = [words.of(q) for q, _ in split]
     question = [(w, np.unique(rolling(h, w))) for w, h in ((max(1, min(SHINGLE, len(h))), h) for h in asked)]
     return Index(
@@ -169,7 +169,7 @@ def _shard(postings: pd.DataFrame, body: pd.DataFrame, n_items: int, span: int)
         essential,
         rest,
         own,
-        ids,
+        [row[i]["item_id"] for i in ids.tolist()],
         question,
         [np.unique(words.of(a)) for _, a in split],
         span,
@@ -351,7 +351,7 @@ def search_text(text: str | None, index: Index, numbers: TermIds, words: WordHas
                 continue
             if number not in best or share > best[number]["share"]:
                 best[number] = {
-                    "item_id": int(index.ids[number]),
+                    "item_id": index.ids[number],
                     "share": float(share),
                     "bm25": float(share * index.own[number]),
                     "question": float(q),
@@ -384,8 +384,9 @@ def with_matches(docs: DataFrame, shards: list[Index], name: str = "matches", th
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document and test item it holds: ids, scores, overlaps, passage start.
 
-    Repeated rows are searched alike and give repeated rows; an empty table of either
-    kind gives none.
+    Items that share an id, or have none, are found each for itself; rows of ``items``
+    equal in id and text are one item. Repeated documents are searched alike and give
+    repeated rows; an empty table of either kind gives none.
     """
     rows = with_matches(docs.select("doc_id", "text"), build_index(items))
     return rows.select("doc_id", F.explode("matches").alias("m")).select(

@@ -95,6 +95,14 @@ def test_items_of_common_words_only(spark):
     assert {(r.doc_id, r.item_id) for r in contaminated(docs, table).collect()} == {(1, 4), (1, 5)}
 
 
+def test_items_that_share_an_id_or_have_none(spark):
+    one, two, three = (f"{' '.join(f'{c}{i}' for i in range(12))}. {' '.join(f'{c}{i}' for i in range(20, 25))}." for c in "pqr")
+    items = spark.createDataFrame([(0, one), (0, "longer " + two), (0, one), (None, three)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, one), (2, two), (3, three), (4, "clean words")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in contaminated(docs, items).collect()) == [(1, 0), (2, 0), (3, None)]
+    assert [r.doc_id for r in drop_contaminated(docs, items).collect()] == [4]
+
+
 def test_odd_rows(spark, documents, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (3, "one"), (None, "x y")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in contaminated(documents, items).collect()}
