@@ -5,7 +5,8 @@ names) are detected in whole texts. Each distinct entity gets one surrogate, dra
 keyed hash: letters become letters of the same case and script, digits digits, marks
 stay; names come from lists by gender and script and keep their case. Card numbers keep
 a valid check digit and address bytes stay below 256. The same entity has the same
-surrogate in every document.
+surrogate in every document. A name that has a title in a text is also replaced where the
+text repeats the whole name without one.
 
 Surrogates are then checked over the whole corpus: those that two entities of a kind
 share, and those that are some entity of the corpus, are drawn again for all but the
@@ -18,10 +19,11 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harbinger.llm.common import bound_batches, settle
@@ -78,6 +80,7 @@ def detect(text: str | None) -> list[dict]:
             group = 1 if kind == "name" else 0
             title = m.group(0)[: m.start(1) - m.start()].strip(" .").lower() + ":" if group else ""
             found.append((m.start(group), rank, m.end(group), kind, title + m.group(group)))
+    found += _bare(text, sorted(x for x in found if x[3] == "name"))
     found.sort()
     out, end = [], 0
     for start, _, stop, kind, value in found:
@@ -87,6 +90,29 @@ def detect(text: str | None) -> list[dict]:
     return out
 
 
+def _bare(text: str, titled: list[tuple]) -> list[tuple]:
+    """Mentions without a title of the names that have one in the text.
+
+    A mention is the whole name as written, in upper case or capitalised; it is the person
+    of the last mention with a title before it, or else of the first.
+    """
+    owners: dict[str, list[tuple[int, str]]] = {}
+    forms = set()
+    for start, _, _, _, value in titled:
+        title, _, name = value.partition(":")
+        owners.setdefault(name.casefold(), []).append((start, title))
+        forms |= {name, name.upper(), name.title()}
+    if not forms:
+        return []
+    either = "|".join(map(re.escape, sorted(forms, key=lambda x: (-len(x), x))))
+    out = []
+    for m in re.finditer(rf"(?<!\w)(?:{either})(?!\w)", text):
+        known = owners[m.group().casefold()]
+        title = known[max(0, bisect_right(known, m.start(), key=lambda x: x[0]) - 1)][1]
+        out.append((m.start(), len(PATTERNS), m.end(), "name", f"{title}:{m.group()}"))
+    return out
+
+
 DIGIT = re.compile("[0-9]")
 _COMPILED = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
 
@@ -182,8 +208,17 @@ def entities(docs: DataFrame) -> DataFrame:
     return rows.select(*KEY, F.explode("e").alias("e")).select(*KEY, "e.*").dropDuplicates([*KEY, "start"])
 
 
+def _written(value: str) -> Column:
+    """What is compared: a name without its gender, in lower case and without hyphens."""
+    name = F.translate(F.lower(F.expr(f"substring({value}, instr({value}, ':') + 1)")), "-", " ")
+    return F.when(F.col("kind") == "name", name).otherwise(F.col(value))
+
+
 def surrogates(found: DataFrame, key: bytes) -> DataFrame:
-    """(kind, entity, surrogate): distinct for distinct entities, and no entity of the corpus."""
+    """(kind, entity, surrogate): distinct for distinct entities, and no entity of the corpus.
+
+    Names are compared as they are written, whatever the gender.
+    """
 
     @F.pandas_udf("string")
     def drawn(kind: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
@@ -192,11 +227,11 @@ def surrogates(found: DataFrame, key: bytes) -> DataFrame:
     real = settle(found.select("kind", "entity").distinct())
     now = real.withColumn("attempt", F.lit(0))
     while True:
-        now = now.withColumn("surrogate", drawn("kind", "entity", "attempt"))
+        now = now.withColumn("surrogate", drawn("kind", "entity", "attempt")).withColumn("written", _written("surrogate"))
         now = settle(now)
-        first = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("first"))
-        taken = real.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("taken"))
-        marked = now.join(first, ["kind", "surrogate"]).join(taken, ["kind", "surrogate"], "left")
+        first = now.groupBy("kind", "written").agg(F.min(F.struct("attempt", "entity")).alias("first"))
+        taken = real.select("kind", _written("entity").alias("written"), F.lit(True).alias("taken")).distinct()
+        marked = now.join(first, ["kind", "written"]).join(taken, ["kind", "written"], "left")
         again = F.coalesce("taken", F.lit(False)) | (F.col("first.entity") != F.col("entity"))
         marked = marked.select("kind", "entity", "surrogate", "attempt", again.alias("again"))
         if marked.where("again").isEmpty():

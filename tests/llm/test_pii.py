@@ -30,6 +30,27 @@ def test_distinct_and_never_an_entity_of_the_corpus(spark):
     assert not made & {r.entity for r in rows}
 
 
+def test_written_names_are_distinct_and_nobody_of_the_corpus(spark):
+    # single names of three genders, one of every given list of endings in use as a real name
+    syllables = pii.SYLLABLES["latin"]
+    real = [f"{a}{b}{c}".capitalize() for a in syllables[:8] for b in syllables for c in syllables[:8]]
+    rows = [(i, f"{title} {name} spoke") for i, name in enumerate(real) for title in ("Mrs", "Mr", "Dr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = pii.pseudonymise(docs, b"k").collect()
+    made = [r.text.split()[1].casefold() for r in out]
+    assert len(made) == len(set(made)) == 3 * len(real)
+    assert not set(made) & {x.casefold() for x in real}
+
+
+def test_bare_mentions_follow_the_titled_one(spark):
+    text = "Mrs Anna Schmidt came. Anna Schmidt left; ANNA SCHMIDT, Anna Schmidtz and anna schmidt. Dr Anna Schmidt: Anna Schmidt. Bob Ross"
+    (row,) = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), b"k").collect()
+    two = r"([A-Z][a-z]+ [A-Z][a-z]+)"
+    got = re.fullmatch(rf"Mrs {two} came\. {two} left; ([A-Z ]+), Anna Schmidtz and anna schmidt\. Dr {two}: {two}\. Bob Ross", row.text)
+    assert got and got[1] == got[2] == got[3].title() != "Anna Schmidt" and got[4] == got[5] != got[1]
+    assert row.entities.count("name:") == 5
+
+
 def test_same_entity_same_surrogate(spark):
     rows = [(i, f"mail me@here.org or {i}@there.org") for i in range(30)] + [(0, "mail me@here.org or 0@there.org")]
     out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()
