@@ -1,7 +1,7 @@
 """License scans by sentence rules, in DataFrame operations only.
 
-Texts are cut into sentences twice: once with lines joined (license texts are wrapped),
-once line by line. A sentence is normalised to lower-case words, a notice ("licensed
+Texts are cut into sentences twice: once with lines joined (license texts are wrapped,
+often inside comments, under a title and a copyright line), once line by line. A sentence is normalised to lower-case words, a notice ("licensed
 under the ...") to one form, and looked up among known sentences; unknown sentences
 drop out. The identifiers that remain, in order, are matched against rules, each an
 ordered run of sentence identifiers. Nothing is shuffled; texts are read whole.
@@ -116,6 +116,19 @@ NOTICE = (
 HEADER = "licensed under the apache license version 2 0 the license"
 
 
+# before lines are joined: comment marks go, so that a bare mark is an empty line, and an
+# empty line follows a title (a short first line of a paragraph that ends in "License")
+# and a copyright line; no known sentence is wrapped so that a line of it is one of these
+LINES = [
+    (r"(^|\n)[ \t#*/;%!-]+", "$1"),
+    (
+        r"(?i)(^|\n[ \t\r\f]*\n)([^\n.:;!?]{0,60}\blicen[sc]e(?:[ \t]*\([^()\n]*\))?[ \t\r\f]*)(?=\n)",
+        "$1$2\n",
+    ),
+    (r"(?i)(^|\n)((?:copyright[ \t]+(?!notice|holder)|\(c\)|\u00a9)[^\n]*|all rights reserved[ \t\r\f]*)(?=\n)", "$1$2\n"),
+]
+
+
 def normal(sentence: str) -> str:
     """The form under which a known sentence is looked up."""
     words = re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
@@ -148,6 +161,8 @@ def _identifiers(text: Column, joined: bool) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     if joined:
+        for pattern, put in LINES:
+            text = F.regexp_replace(text, pattern, put)
         cut = F.regexp_replace(text, rf"([.;:!?]){GAP}+|\n{GAP}*\n", "$1\u0001")
         cut = F.split(F.translate(cut, "\n", " "), "\u0001", -1)
     else:

@@ -31,6 +31,29 @@ def test_texts_notices_and_order(spark):
     assert got == ["MIT", "", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-NC-4.0,MIT", "Apache-2.0", "", "", ""]
 
 
+def test_texts_in_comments_under_title_and_copyright(spark):
+    full = [(rule, ids) for rule, _, ids in RULES if rule.endswith("-text")]
+    texts, want = [], []
+    for rule, ids in full:
+        body = wrapped(*ids).split("\n")
+        lines = ["The MIT License (MIT)", "", "Copyright (c) 2020 Foo", "", *body]
+        close = ["MIT License", "Copyright 2019 Bar", "Copyright (c) 2020 Foo", *body]
+        for form in (lines, close):
+            for mark in ("# ", " * ", "// ", ""):
+                inner = "\n".join((mark + x).rstrip(" ") for x in form)
+                texts.append(f"/*\n{inner}\n */\nint x;" if mark == " * " else f"{inner}\n\ncode")
+                texts.append(texts[-1].replace("\n", "\r\n"))
+                want += [rule, rule]
+    # a known sentence is found at any width, also where a line of it begins with Copyright
+    for width in range(20, 90, 7):
+        for rule, ids in full:
+            texts.append("\n#\n".join(textwrap.fill(" ".join(SENTENCES[n].split()), width, initial_indent="# ", subsequent_indent="# ") for n in ids))
+            want.append(rule)
+    rows = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: r.rules.split(",") for r in rows}
+    assert [(rule, texts[i]) for i, rule in enumerate(want) if rule not in got[i]] == []
+
+
 def test_every_rule_is_reached(spark):
     texts = [("Licensed " if ids[0].startswith("notice") else "") + wrapped(*ids) for _, _, ids in RULES]
     rows = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
