@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from harbinger.llm import cotraining, decontaminate, langid, licenses, near_dedup, packing, pii, repetition, secrets, toxicity
+from harbinger.llm import (
+    cotraining,
+    decontaminate,
+    histogram_packing,
+    langid,
+    licenses,
+    near_dedup,
+    packing,
+    pii,
+    repetition,
+    secrets,
+    toxicity,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +102,9 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op5_repetition_rules"] = repetition.repetition_sql()
 ORACLES["op8_secret_scans"] = secrets.secret_sql()
+
+
+@register
+def op13_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids placed in sequences of 4,096 by the histogram of lengths."""
+    return histogram_packing.pack_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
