@@ -28,8 +28,3 @@ def dim(spark):
     from harbinger.sources.dimension import county_dimension
 
     return county_dimension(spark)
-
-
-def rows(df, *order):
-    """Rows as plain tuples, sorted."""
-    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple(str(v) for v in r))

@@ -3,7 +3,7 @@ import math
 import random
 
 import pytest
-from conftest import rows
+from frame_rows import rows
 from pyspark.sql import functions as F
 
 from harbinger.operators import neighbours as G

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from frame_rows import rows
 from pyspark.errors import PySparkException
 
 from harbinger.operators import names as N

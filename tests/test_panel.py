@@ -2,7 +2,7 @@ import datetime as dt
 import math
 
 import pytest
-from conftest import rows
+from frame_rows import rows
 from pyspark.sql import functions as F
 
 from harbinger import fixed_values as V
