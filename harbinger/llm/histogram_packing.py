@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import uuid
 import zlib
 
@@ -48,10 +49,10 @@ OUT_SCHEMA = ", ".join(f"{c} long" for c in OUT)
 
 
 def _splitter(tokenizer):
-    """The pattern that cuts a lowered ASCII word into the parts whose merges are separate.
+    """The pattern that cuts a normalised word into the parts whose merges are separate.
 
     None unless the tokenizer's file says so: a normaliser that only lowers ASCII, a
-    splitter that keeps its matches, and a byte alphabet in which printable ASCII stands for itself.
+    splitter that keeps its matches, and a byte alphabet after it.
     """
     says = json.loads(tokenizer.to_str())
     norms, steps = (
@@ -68,11 +69,38 @@ def _splitter(tokenizer):
     return None
 
 
+class ByteAlphabet(dict):
+    """How a character is written in the byte alphabet, for ``str.translate``."""
+
+    def __init__(self):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        super().__init__()
+        self.write = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+
+    def __missing__(self, code: int) -> str:
+        value = self[code] = "".join(part for part, _ in self.write(chr(code)))
+        return value
+
+
+class PartIds(dict):
+    """Ids of a normalised part as little-endian bytes."""
+
+    def __init__(self, model, form: str):
+        super().__init__()
+        self.tokenize, self.form, self.alphabet = model.tokenize, form, ByteAlphabet()
+
+    def __missing__(self, part: str) -> bytes:
+        ids = [t.id for t in self.tokenize(part if part.isascii() else part.translate(self.alphabet))]
+        value = self[part] = struct.pack(f"<{len(ids)}{self.form}", *ids)
+        return value
+
+
 class WordIds(dict):
     """Ids of a word (bytes) as little-endian bytes; bounded between stretches of text.
 
-    An unseen word of printable ASCII is put together from its parts, which are fewer than the words
-    with glued punctuation and need no normalising.
+    An unseen word of printable characters is put together from its parts, which are fewer
+    than the words with glued punctuation; any other is left to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -81,32 +109,29 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.form = "H" if self.dtype.itemsize == 2 else "I"
         self.splitter = _splitter(self.tokenizer)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added) or "(?!)")
-        self.parts: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> bytes:
-        value = self.parts.get(part)
-        if value is None:
-            value = self.parts[part] = np.array([t.id for t in self.model.tokenize(part)], self.dtype).tobytes()
-        return value
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parts = PartIds(self.tokenizer.model, self.form)
+        self.careful = False
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
-        if self.splitter is None or not (word.isascii() and text.isprintable()) or self.added.search(text):
+        if self.splitter is None or not text.isprintable() or self.careful and any(t in word for t in self.added):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            value = np.array(ids, self.dtype).tobytes()
+            value = struct.pack(f"<{len(ids)}{self.form}", *ids)
         else:
-            value = b"".join([self._part(p) for p in self.splitter.findall(text.lower())])
+            text = text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text)
+            parts = self.splitter.findall(text)
+            value = self.parts[parts[0]] if len(parts) == 1 else b"".join([self.parts[p] for p in parts])
         self[word] = value
         return value
 
     def of(self, text: str | None) -> np.ndarray:
         """Ids of a whole text and the end id, read in stretches that end at white space."""
         raw = (text or "").encode("utf-8")
+        self.careful = any(t in raw for t in self.added)
         out, at = bytearray(), 0
         while at < len(raw):
             cut = SPACE.search(raw, at + CHUNK_BYTES) if len(raw) - at > CHUNK_BYTES else None
@@ -116,7 +141,7 @@ class WordIds(dict):
                 self.parts.clear()
             out += b"".join(map(self.__getitem__, raw[at:end].split()))
             at = end
-        out += np.array([END_ID], self.dtype).tobytes()
+        out += struct.pack(f"<{self.form}", END_ID)
         return np.frombuffer(bytes(out), self.dtype)
 
 
