@@ -44,4 +44,4 @@ def rounded(*columns: str, decimals: int = 6) -> str:
 
 def load_all() -> None:
     from checks import panel_queries, scoring_queries, serving_queries  # noqa: F401, I001
-    from checks import learning  # noqa: F401
+    from checks import fitting_queries, learning  # noqa: F401

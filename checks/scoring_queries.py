@@ -191,6 +191,35 @@ def metrics_query(spark, sf):
     return out.drop("confusion_matrix")
 
 
+GAPPY = """gappy AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE y END AS y,
+  CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE p END AS p FROM scored),
+known AS (SELECT * FROM gappy WHERE y IS NOT NULL AND p IS NOT NULL)"""
+
+
+@query(
+    "metrics_with_missing",
+    f"""WITH {O.SCORED}, {GAPPY},
+    counts AS (SELECT p, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM known GROUP BY 1),
+    c AS (SELECT {CONFUSION.format(t="0.35::DOUBLE")} FROM known)
+    SELECT source, c.n, tp, fp, fn, tn, round(brier, 9) AS brier_score,
+      CASE WHEN source = 'full_metrics' THEN round(roc_auc, 9) END AS roc_auc
+    FROM c, {areas("", "counts")}, (VALUES ('confusion'), ('full_metrics')) AS v(source)""",
+)
+def missing_metrics_query(spark, sf):
+    """Missing labels and scores are left out alike by the plain counts and the full row."""
+    gappy = S.scored_orders(spark, sf).withColumns(
+        {"y": F.when(F.col("o_orderkey") % 11 != 0, F.col("y")), "p": F.when(F.col("o_orderkey") % 13 != 0, F.col("p"))}
+    )
+    plain = M.confusion(gappy, threshold=0.35).withColumn("roc_auc", F.lit(None).cast("double"))
+    full = M.full_metrics(gappy, threshold=0.35, decimals=9).withColumnsRenamed(
+        {"true_positives": "tp", "false_positives": "fp", "false_negatives": "fn", "true_negatives": "tn"}
+    )
+    columns = ["n", "tp", "fp", "fn", "tn", F.round("brier_score", 9).alias("brier_score"), "roc_auc"]
+    return plain.select(F.lit("confusion").alias("source"), *columns).union(
+        full.select(F.lit("full_metrics").alias("source"), *columns)
+    )
+
+
 @query(
     "metrics_by_group",
     f"""WITH {O.SCORED_BY_ENTITY},

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import oracle_tables as O
 from checks import standins as S
 from checks.catalog import query, r6, rounded
+from checks.panel_queries import PANEL_DOUBLES
 from harbinger import fixed_values as V
 from harbinger.functions.scalars import action_text, proxy_bounds, rainfall_proxy_score, risk_band
 from harbinger.functions.signals import top_signals
@@ -14,6 +15,8 @@ from harbinger.operators import keys as K
 from harbinger.plans import early_warning as E
 from harbinger.plans import risk as R
 from harbinger.plans import views as W
+from harbinger.plans.stored_panel import with_observation
+from harbinger.sources.shared import settle
 
 
 def _action(p: str, base: str) -> str:
@@ -74,7 +77,9 @@ def periods_query(spark, sf):
     round(maize_price_zscore, 6) AS maize_price_zscore FROM scored WHERE period = (SELECT max(period) FROM scored)""",
 )
 def snapshot_query(spark, sf):
-    out = W.latest_snapshot(S.proxy_panel(spark, sf))
+    """From the stored panel: one partition is read, more only to fill a gap."""
+    filled = S.stored_panel(spark, sf).latest_filled()
+    out = W.scored_panel(filled, rainfall_proxy_score(F.col("rainfall_rolling_3m")))
     return r6(out.select("county_name", "period", "model_risk_prob", "risk_band", "maize_price_zscore"))
 
 
@@ -179,6 +184,16 @@ def _flat(df):
     WHERE horizon_months = 1 AND observation_date = (SELECT max(observation_date) FROM long)""",
 )
 def risk_latest_query(spark, sf):
+    """From the stored panel: one partition is read."""
+    return _flat(R.latest_risk(with_observation(S.stored_panel(spark, sf).latest())))
+
+
+@query(
+    "risk_latest_from_feeds",
+    f"""WITH {O.LONG} {_risk_sql("long", V.ACTION_BASE_LIST)}
+    WHERE horizon_months = 1 AND observation_date = (SELECT max(observation_date) FROM long)""",
+)
+def risk_latest_from_feeds_query(spark, sf):
     return _flat(R.latest_risk(S.long_table(spark, sf)))
 
 
@@ -188,7 +203,8 @@ def risk_latest_query(spark, sf):
     AND observation_date = (SELECT max(observation_date) FROM long WHERE county_name = 'NATION_7')""",
 )
 def risk_entity_query(spark, sf):
-    return _flat(R.entity_risk(S.long_table(spark, sf), "nation_7"))
+    """From the stored panel: one bucket of entities is read."""
+    return _flat(R.entity_risk(with_observation(S.stored_panel(spark, sf).entity("nation_7")), "nation_7"))
 
 
 @query(
@@ -432,5 +448,33 @@ def chart_query(spark, sf):
     f"""WITH {O.PROXY} SELECT period, {rounded("rainfall_rolling_3m", "model_risk_prob")} FROM scored WHERE county_name = 'NATION_12'""",
 )
 def timeseries_query(spark, sf):
-    out = K.same_entity(S.proxy_panel(spark, sf), "nation_12").orderBy("period_dt")
+    """From the stored panel: one bucket of entities is read."""
+    rows = S.stored_panel(spark, sf).entity("nation_12")
+    out = W.scored_panel(rows, rainfall_proxy_score(F.col("rainfall_rolling_3m"))).orderBy("period_dt")
     return r6(out.select("period", "rainfall_rolling_3m", "model_risk_prob"))
+
+
+STORED_SQL = f"""WITH {O.PANEL} SELECT county_name, year, month, consecutive_dry_months, previous_ipc_phase,
+    target_phase3plus, {rounded(*PANEL_DOUBLES)} FROM panel"""
+
+
+@query("stored_panel", STORED_SQL)
+def stored_panel_query(spark, sf):
+    """The whole panel as it is stored, z-scores finished on reading."""
+    return r6(S.stored_panel(spark, sf).panel())
+
+
+@query("stored_panel_increments", STORED_SQL)
+def stored_panel_increments_query(spark, sf):
+    """A panel that grew by landings: rows with wrong values, then more months, then corrections.
+
+    Odd months of a year first land with spoilt values and are put right at the end.
+    """
+    rows = settle(S.joined_feeds(spark, sf))
+    store = S.empty_store(spark)
+    spoilt = (F.col("year") == 1995) & (F.col("month") % 2 == 1)
+    early = rows.where("year < 1997")
+    store.land(early.withColumns({c: F.when(spoilt, -F.col(c)).otherwise(F.col(c)) for c in ("rainfall_anomaly", "price")}))
+    store.land(rows.where("year >= 1997"))
+    store.land(store.changed(rows))
+    return r6(store.panel())

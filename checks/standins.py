@@ -13,6 +13,8 @@ order in which partitions are combined.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +22,10 @@ from pyspark.sql import types as T
 from harbinger.functions.scalars import clip, event_label, rainfall_proxy_score
 from harbinger.operators.horizon import build_long_table
 from harbinger.operators.keys import expand_to_months
-from harbinger.operators.panel import build_panel
+from harbinger.operators.panel import build_panel, join_feeds
+from harbinger.plans.stored_panel import StoredPanel
 from harbinger.plans.views import scored_panel
-from harbinger.functions.scalars import rainfall_proxy_score
+from harbinger.sources.shared import shared_folder
 
 
 _SCHEMAS: dict[str, T.StructType] = {}
@@ -189,6 +192,29 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def joined_feeds(spark: SparkSession, sf: str) -> DataFrame:
+    return join_feeds(
+        rainfall(spark, sf), vegetation(spark, sf), market(spark, sf), assessments_monthly(spark, sf)
+    )
+
+
+def empty_store(spark: SparkSession) -> StoredPanel:
+    return StoredPanel(spark, f"{shared_folder(spark)}/panel-{uuid.uuid4().hex}")
+
+
+_STORES: dict[tuple[str, str], StoredPanel] = {}
+
+
+def stored_panel(spark: SparkSession, sf: str) -> StoredPanel:
+    """The stored panel of the tables; the first question of an application builds it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        store = empty_store(spark)
+        store.land(joined_feeds(spark, sf))
+        _STORES[key] = store
+    return _STORES[key]
+
+
 def long_table(spark: SparkSession, sf: str, with_neighbours: bool = False) -> DataFrame:
     return build_long_table(
         panel(spark, sf),

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark import inheritable_thread_target
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -38,19 +40,73 @@ def with_balanced_weight(df: DataFrame, label: str = LABEL, out: str = "_weight"
     return df.withColumn("_s", sizes).withColumn(out, F.col("_s.n") / (2 * mine)).drop("_s")
 
 
-def _inputs(features: Sequence[str], impute: str, scale: bool) -> tuple[list, list[str], str]:
-    stages: list = []
-    columns = list(features)
+FIT_THREADS = 8
+ROWS_PER_PARTITION = 50_000
+
+
+def concurrently(spark: SparkSession, tasks: Sequence[Callable], threads: int = FIT_THREADS) -> list:
+    """Results of the tasks, in order; a bounded pool of driver threads submits their jobs.
+
+    A fit is a chain of small jobs that leaves a cluster idle between them. Every task has
+    a scheduler pool of its own, so with ``spark.scheduler.mode`` FAIR they share executors
+    evenly. The first failure is raised.
+    """
+    context = spark.sparkContext
+
+    def in_pool(task: Callable, name: str):
+        context.setLocalProperty("spark.scheduler.pool", name)
+        return task()
+
+    with ThreadPoolExecutor(max(1, min(threads, len(tasks)))) as pool:
+        target = inheritable_thread_target(spark)
+        futures = [pool.submit(target(in_pool), task, f"fit-{i % threads}") for i, task in enumerate(tasks)]
+        return [f.result() for f in futures]
+
+
+@dataclass
+class Prepared:
+    """Imputed, assembled and weighted training rows, stored once for several fits."""
+
+    rows: DataFrame
+    inputs: list
+    n_rows: int
+    label: str
+
+
+def prepare(train: DataFrame, features: Sequence[str], label: str = "target_phase3plus", impute: str = "zero") -> Prepared:
+    """Fill, assemble and weigh the rows of a fold.
+
+    Tree bagging draws by row position, and a shuffle delivers rows in any order, so the
+    rows of each partition are put in an order that depends on their values only. Rows are
+    dealt to as many partitions as their number asks for.
+    """
+    features, inputs = list(features), []
+    rows = settle(numeric(train, features, impute).select(*features, F.col(label).cast("double").alias(label)))
+    sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_rows = sum(sizes.values())
+    columns = features
     if impute == "median":
-        filled = [f"_f_{c}" for c in columns]
-        stages.append(Imputer(strategy="median", inputCols=columns, outputCols=filled))
-        columns = filled
-    stages.append(
-        VectorAssembler(inputCols=columns, outputCol="features" if not scale else "_raw", handleInvalid="error")
-    )
-    if scale:
-        stages.append(StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="features"))
-    return stages, columns, "features"
+        columns = [f"_f_{c}" for c in features]
+        inputs.append(Imputer(strategy="median", inputCols=features, outputCols=columns).fit(rows))
+    inputs.append(VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error"))
+    filled = PipelineModel(inputs).transform(rows)
+    weight = F.when(F.col(label) == 1, n_rows / (2 * max(1, sizes.get(1.0, 0)))).otherwise(n_rows / (2 * max(1, sizes.get(0.0, 0))))
+    parts = max(1, -(-n_rows // ROWS_PER_PARTITION))
+    dealt = filled.select(*features, label, "features", weight.alias("_weight")).repartition(parts, F.xxhash64(*features, label))
+    ordered = dealt.sortWithinPartitions(F.xxhash64(*features, label), *features)
+    return Prepared(settle(ordered.select("features", label, "_weight")), inputs, n_rows, label)
+
+
+def fit_prepared(prepared: Prepared, name: str, seed: int = 42, max_iter: int = 100) -> PipelineModel:
+    """One candidate over prepared rows, as a pipeline that starts from the raw columns."""
+    stages, rows = list(prepared.inputs), prepared.rows
+    estimator = classifier(name, prepared.n_rows, prepared.label, seed, max_iter)
+    if name == "logistic_regression":
+        scaler = StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="_scaled").fit(rows)
+        stages.append(scaler)
+        rows = scaler.transform(rows)
+        estimator.setFeaturesCol("_scaled")
+    return PipelineModel([*stages, estimator.fit(rows)])
 
 
 def classifier(name: str, n_rows: int, label: str = LABEL, seed: int = 42, max_iter: int = 100):
@@ -78,17 +134,10 @@ def fit_classifier(
     train: DataFrame, name: str, features: Sequence[str], label: str = LABEL, impute: str = "zero",
     seed: int = 42, max_iter: int = 100,
 ) -> PipelineModel:
-    """Fit one candidate.
-
-    Tree bagging draws by row position, and a shuffle delivers rows in any order, so
-    the rows of each partition are put in an order that depends on their values only.
-    """
-    stages, _, _ = _inputs(features, impute, scale=name == "logistic_regression")
-    weighted = with_balanced_weight(numeric(train, features, impute), label)
-    ordered = weighted.sortWithinPartitions(F.xxhash64(*features, label), *features)
-    n_rows = train.count() if name == "logistic_regression" else 0
-    estimator = classifier(name, n_rows, label, seed, max_iter)
-    return Pipeline(stages=[*stages, estimator]).fit(ordered)
+    """Fit one candidate."""
+    if name not in CANDIDATES:
+        raise ValueError(f"unknown model '{name}'; choose from {', '.join(CANDIDATES)}")
+    return fit_prepared(prepare(train, features, label, impute), name, seed, max_iter)
 
 
 def probability(column: str = "probability") -> Column:
@@ -177,7 +226,7 @@ class HorizonForecaster:
 
 
 def fit_horizon(
-    horizon: int, train: DataFrame, validation: DataFrame | None, name: str = "random_forest",
+    horizon: int, train: DataFrame | Prepared, validation: DataFrame | None, name: str = "random_forest",
     features: Sequence[str] = tuple(V.LONG_FEATURES), label: str = LABEL, tune_on: str = "raw",
     seed: int = 42, max_iter: int = 100,
 ) -> HorizonForecaster:
@@ -185,9 +234,11 @@ def fit_horizon(
 
     ``tune_on="raw"`` chooses the cut-off on uncalibrated probabilities although it
     is applied to calibrated ones; ``"calibrated"`` uses the same scale for both.
+    ``train`` may be prepared already, for several candidates over the same rows.
     """
     features = list(features)
-    pipeline = fit_classifier(train, name, features, label, "zero", seed, max_iter)
+    prepared = train if isinstance(train, Prepared) else prepare(train, features, label)
+    pipeline = fit_prepared(prepared, name, seed, max_iter)
     out = HorizonForecaster(horizon, name, features, pipeline)
     if validation is None:
         return out
@@ -233,20 +284,26 @@ def score_panel(
 
 
 def fit_ensemble(
-    train: DataFrame, features: Sequence[str], label: str = LABEL, seed: int = 42, max_iter: int = 100
+    train: DataFrame | Prepared, features: Sequence[str], label: str = LABEL, seed: int = 42, max_iter: int = 100
 ) -> dict[str, PipelineModel]:
-    """Logistic, forest and boosting models over median-imputed features."""
-    return {
-        name: fit_classifier(train, name, features, label, "median", seed, max_iter) for name in CANDIDATES
-    }
+    """Logistic, forest and boosting models over median-imputed features, fitted side by side."""
+    prepared = train if isinstance(train, Prepared) else prepare(train, features, label, "median")
+    spark = prepared.rows.sparkSession
+    fits = [lambda n=name: fit_prepared(prepared, n, seed, max_iter) for name in CANDIDATES]
+    return dict(zip(CANDIDATES, concurrently(spark, fits), strict=True))
+
+
+def score_all(models: dict[str, PipelineModel], df: DataFrame, features: Sequence[str], impute: str = "median") -> DataFrame:
+    """One probability column ``p_<model>`` per model."""
+    out = df
+    for name, model in models.items():
+        out = score(model, out, features, impute, f"p_{name}")
+    return out
 
 
 def score_ensemble(models: dict[str, PipelineModel], df: DataFrame, features: Sequence[str]) -> DataFrame:
     """One probability column per model and their weighted mean ``p``."""
-    out = df
-    for name in CANDIDATES:
-        out = score(models[name], out, features, "median", f"p_{name}")
-    return out.withColumn("p", blend(*[F.col(f"p_{n}") for n in CANDIDATES]))
+    return score_all(models, df, features).withColumn("p", blend(*[F.col(f"p_{n}") for n in CANDIDATES]))
 
 
 def tree_importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:

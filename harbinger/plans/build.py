@@ -1,7 +1,8 @@
-"""The batch build: ingest the feeds, store panel and long table, report.
+"""The batch build: ingest the feeds, store panel and long table, train, report.
 
-One lazy plan runs from the feeds to each of the two stored tables; the long table
-starts from the stored panel, so the feeds are joined once.
+The feeds are joined once, what changed is landed in the stored panel, and the long table
+starts from there. Training reads the stored long table and stores the fitted models beside
+it, where the forecasts read them.
 """
 
 from __future__ import annotations
@@ -15,15 +16,19 @@ from pyspark.sql import functions as F
 
 from harbinger.operators.horizon import build_long_table
 from harbinger.operators.keys import years_between
-from harbinger.operators.panel import build_panel
+from harbinger.operators.learn import HorizonForecaster
+from harbinger.operators.panel import join_feeds
 from harbinger.operators.quality import SchemaDrift, source_quality, validate_panel
+from harbinger.plans.experiments import baseline_job, horizon_backtest
+from harbinger.plans.stored_panel import StoredPanel
 from harbinger.sources.feeds import monthly_assessments
 from harbinger.sources.manifest import (
     FEED_OF_SOURCE, MANIFEST_COLUMNS, append_manifest, ingest, latest_assets, read_manifest, source_registry,
 )
+from harbinger.operators.horizon import HORIZONS
 from harbinger.sources.storage import write_report, write_table
 
-STEPS = ("all", "ingest", "validate", "features")
+STEPS = ("all", "ingest", "validate", "features", "train")
 
 
 @dataclass
@@ -63,10 +68,12 @@ def build_tables(
     from_date: str | None = None, to_date: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Store panel and long table; returns (panel, long table, panel rule counts)."""
-    panel = build_panel(
+    joined = join_feeds(
         feeds["rainfall"], feeds["vegetation"], feeds["market"], monthly_assessments(feeds["assessments"])
     )
-    panel = write_table(years_between(panel, from_date, to_date), f"{out}/panel", partition_by="year")
+    store = StoredPanel(joined.sparkSession, f"{out}/panel")
+    store.replace(joined)
+    panel = years_between(store.panel(), from_date, to_date)
     long = write_table(build_long_table(panel, dim, edges), f"{out}/long")
     return panel, long, validate_panel(panel, dim)
 

@@ -1,7 +1,8 @@
 """Training and comparison jobs.
 
-Each job scores every (horizon, fold, model) into one predictions frame and then
-computes all metric rows in a single grouped pass.
+The rows of every horizon and fold are imputed and assembled once; the fits over them are
+submitted side by side by a bounded pool of threads. All models score a held-out row in one
+pass, and all metric rows are one grouped pass over the predictions.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from harbinger import fixed_values as V
 from harbinger.operators import baselines as B
 from harbinger.operators import learn as L
+from harbinger.functions.scalars import blend
 from harbinger.operators.importance import feature_stability, permutation_importance
 from harbinger.operators.metrics import full_metrics, reliability_curve
 from harbinger.operators.splits import rolling_origin, split_by_year
@@ -54,36 +56,49 @@ def model_predictions(
     ``key_columns=False`` fits the two rate baselines without the entity, so they
     fall back to overall and month rates.
     """
-    assigned = rolling_origin(long, folds)
-    frames = []
-    for h in horizons:
-        for name, *_ in folds:
-            train = _fold_rows(assigned, name, h, "train")
-            held = _fold_rows(assigned, name, h, "eval")
-            learned = [m for m in models if m not in BASELINES]
-            if learned:
-                train, held = L.settle(train), L.settle(held)
-            tags = {"horizon": h, "fold_name": name}
-            ensemble = None
+    assigned = L.settle(rolling_origin(long, folds))
+    spark = long.sparkSession
+    cells = [(h, name) for h in horizons for name, *_ in folds]
+    train = {c: _fold_rows(assigned, c[1], c[0], "train") for c in cells}
+    held = {c: _fold_rows(assigned, c[1], c[0], "eval") for c in cells}
+    # boosting is the longest chain of jobs, so it starts first
+    learned = [m for m in reversed(L.CANDIDATES) if m in models or "calibrated_ensemble" in models]
+    ready = {}
+    if learned:
+        frames = L.concurrently(spark, [lambda c=c: L.prepare(train[c], features, LABEL, "median") for c in cells])
+        ready = dict(zip(cells, frames, strict=True))
+    fits = [(m, c) for m in learned for c in cells]
+    models_of = dict(zip(
+        fits, L.concurrently(spark, [lambda m=m, c=c: L.fit_prepared(ready[c], m, seed, max_iter) for m, c in fits]), strict=True,
+    ))
+
+    def predict(c: tuple[int, str]) -> DataFrame:
+        tags, frames = {"horizon": c[0], "fold_name": c[1]}, []
+        if learned:
+            scored = L.score_all({m: models_of[m, c] for m in learned}, held[c], features)
+            columns = {m: F.col(f"p_{m}") for m in learned if m in models}
             if "calibrated_ensemble" in models:
-                fitted = L.fit_ensemble(train, features, seed=seed, max_iter=max_iter)
-                ensemble = L.score_ensemble(fitted, held, features)
-            for m in models:
-                if m == "persistence":
-                    scored = B.persistence(held)
-                elif m == "historical_frequency":
-                    scored = B.historical_frequency(train, held, LABEL, key_columns)
-                elif m == "seasonal_baseline":
-                    scored = B.seasonal_rate(train, held, LABEL, key_columns)
-                elif m == "calibrated_ensemble":
-                    scored = ensemble
-                elif ensemble is not None:
-                    scored = ensemble.withColumn("p", F.col(f"p_{m}"))
-                else:
-                    fit = L.fit_classifier(train, m, features, LABEL, "median", seed, max_iter)
-                    scored = L.score(fit, held, features, "median")
-                frames.append(_predictions(scored, model_name=m, **tags))
-    return _union(frames)
+                columns["calibrated_ensemble"] = blend(*[F.col(f"p_{n}") for n in L.CANDIDATES])
+            frames.append(_stacked(scored, columns, tags))
+        rates = {
+            "persistence": lambda: B.persistence(held[c]),
+            "historical_frequency": lambda: B.historical_frequency(train[c], held[c], LABEL, key_columns),
+            "seasonal_baseline": lambda: B.seasonal_rate(train[c], held[c], LABEL, key_columns),
+        }
+        frames += [_predictions(rate(), model_name=m, **tags) for m, rate in rates.items() if m in models]
+        return L.settle(_union(frames))
+
+    return _union(L.concurrently(spark, [lambda c=c: predict(c) for c in cells]))
+
+
+def _stacked(scored: DataFrame, columns: dict, tags: dict) -> DataFrame:
+    """One row per model from a row with the probabilities of all."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model_name"), p.alias("p")) for m, p in columns.items()]))
+    rows = scored.select("county_name", "observation_date", F.col(LABEL).cast("int").alias("y"), each.alias("_m"))
+    return rows.select(
+        F.col("_m.model_name").alias("model_name"), *[F.lit(v).alias(k) for k, v in tags.items()],
+        "county_name", "observation_date", "y", F.col("_m.p").alias("p"),
+    )
 
 
 def registry_rows(predictions: DataFrame, decimals: int = 4) -> DataFrame:
@@ -116,10 +131,11 @@ def group_ablation(
     for g, members in groups.items():
         sets[f"minus_{g.lower()}"] = [f for f in every if f not in members]
     train, held = L.settle(train), L.settle(held)
+    fits = [lambda f=f: L.fit_classifier(train, model, f, LABEL, "median", seed) for f in sets.values()]
+    fitted = L.concurrently(train.sparkSession, fits)
     frames = []
-    for name, features in sets.items():
-        fitted = L.fit_classifier(train, model, features, LABEL, "median", seed)
-        scored = L.score(fitted, held, features, "median")
+    for (name, features), one in zip(sets.items(), fitted, strict=True):
+        scored = L.score(one, held, features, "median")
         frames.append(
             _predictions(scored, ablation_set=name, feature_count=len(features)).drop("county_name", "observation_date")
         )
@@ -140,35 +156,43 @@ def horizon_backtest(
     only; ``"through_validation"`` also trains on them, so both are in-sample.
     """
     validation, test = folds[0][0], folds[1][0]
-    assigned = L.settle(rolling_origin(long, folds))
-    metric_frames, curves, chosen = [], [], {}
-    for h in horizons:
-        train = _fold_rows(assigned, validation, h, "train")
-        held = _fold_rows(assigned, validation, h, "eval")
-        rows = []
-        for position, name in enumerate(candidates):
-            fitted = L.fit_horizon(h, train, held, name, features, LABEL, tune_on, seed, max_iter)
-            scored = fitted.predict(held).withColumn("y", F.col(LABEL).cast("int"))
-            one = full_metrics(scored, threshold=fitted.threshold).drop("confusion_matrix")
-            rows.append(
-                one.select(
-                    F.lit(h).alias("horizon"), F.lit(name).alias("model"), F.lit(position).alias("position"),
-                    F.lit(validation).alias("split"), "*",
-                )
-            )
-        compared = L.settle(_union(rows))
-        winner = select_model(compared).first()["model"]
-        full_train = train if final_fit == "disjoint" else _fold_rows(assigned, test, h, "train")
-        best = L.fit_horizon(h, full_train, held, winner, features, LABEL, tune_on, seed, max_iter)
-        final = best.predict(_fold_rows(assigned, test, h, "eval")).withColumn("y", F.col(LABEL).cast("int"))
-        tested = full_metrics(final, threshold=best.threshold).drop("confusion_matrix").select(
-            F.lit(h).alias("horizon"), F.lit(winner).alias("model"), F.lit(-1).alias("position"),
-            F.lit(test).alias("split"), "*",
+    assigned, spark = L.settle(rolling_origin(long, folds)), long.sparkSession
+    train = {h: _fold_rows(assigned, validation, h, "train") for h in horizons}
+    held = {h: _fold_rows(assigned, validation, h, "eval") for h in horizons}
+    ready = dict(zip(horizons, L.concurrently(spark, [lambda h=h: L.prepare(train[h], features) for h in horizons]), strict=True))
+
+    def metrics(fitted: L.HorizonForecaster, rows: DataFrame, position: int, split: str) -> DataFrame:
+        scored = fitted.predict(rows).withColumn("y", F.col(LABEL).cast("int"))
+        return full_metrics(scored, threshold=fitted.threshold).drop("confusion_matrix").select(
+            F.lit(fitted.horizon).alias("horizon"), F.lit(fitted.model_name).alias("model"),
+            F.lit(position).alias("position"), F.lit(split).alias("split"), "*",
         )
-        metric_frames += [compared, tested]
-        curves.append(reliability_curve(final).select(F.lit(h).alias("horizon"), F.lit(winner).alias("model"), "*"))
-        chosen[h] = best
-    return _union(metric_frames).drop("position"), _union(curves), chosen
+
+    def compare(h: int, position: int, name: str) -> DataFrame:
+        fitted = L.fit_horizon(h, ready[h], held[h], name, features, LABEL, tune_on, seed, max_iter)
+        return L.settle(metrics(fitted, held[h], position, validation))
+
+    # boosting is the longest chain of jobs, so the last candidates start first
+    tries = [(h, i, m) for i, m in reversed(list(enumerate(candidates))) for h in horizons]
+    compared = _union(L.concurrently(spark, [lambda t=t: compare(*t) for t in tries]))
+    chosen = {}
+    for h in horizons:
+        chosen[h] = select_model(compared.where(F.col("horizon") == h)).first()["model"]
+
+    def finish(h: int) -> tuple[L.HorizonForecaster, DataFrame, DataFrame]:
+        rows = ready[h] if final_fit == "disjoint" else _fold_rows(assigned, test, h, "train")
+        best = L.fit_horizon(h, rows, held[h], chosen[h], features, LABEL, tune_on, seed, max_iter)
+        tested = _fold_rows(assigned, test, h, "eval")
+        final = best.predict(tested).withColumn("y", F.col(LABEL).cast("int"))
+        curve = reliability_curve(final).select(F.lit(h).alias("horizon"), F.lit(best.model_name).alias("model"), "*")
+        return best, metrics(best, tested, -1, test), curve
+
+    finals = L.concurrently(spark, [lambda h=h: finish(h) for h in horizons])
+    metric_frames = [compared, *[m for _, m, _ in finals]]
+    return (
+        _union(metric_frames).drop("position"), _union([c for _, _, c in finals]),
+        {h: best for h, (best, _, _) in zip(horizons, finals, strict=True)},
+    )
 
 
 def baseline_job(

@@ -20,6 +20,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
 def first_existing(spark: SparkSession, *paths: str) -> str:
     for path in paths:
         if path_exists(spark, path):
@@ -117,6 +122,31 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> Da
     return df.sparkSession.read.parquet(path)
 
 
+def write_partitions(df: DataFrame, path: str, *columns: str) -> None:
+    """Replace the partitions that ``df`` has rows for; all others stay as they are."""
+    ordered = df.repartition(*columns).sortWithinPartitions(*columns)
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+
+
+def _edge_partition(spark: SparkSession, path: str, columns: tuple[str, ...], pick) -> tuple[int, ...]:
+    values = []
+    for column in columns:
+        fs, where = _file_system(spark, path)
+        names = [s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()]
+        values.append(pick(int(n.split("=", 1)[1]) for n in names if n.startswith(f"{column}=")))
+        path = f"{path}/{column}={values[-1]}"
+    return tuple(values)
+
+
+def newest_partition(spark: SparkSession, path: str, *columns: str) -> tuple[int, ...]:
+    """The greatest values of whole-number partition columns, from folder names alone."""
+    return _edge_partition(spark, path, columns, max)
+
+
+def oldest_partition(spark: SparkSession, path: str, *columns: str) -> tuple[int, ...]:
+    return _edge_partition(spark, path, columns, min)
+
+
 def reload_or_build(spark: SparkSession, path: str, build) -> DataFrame:
     """Stored table if its write completed, else build, store and reload it."""
     if path_exists(spark, f"{path}/_SUCCESS"):

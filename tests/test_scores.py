@@ -198,3 +198,16 @@ def test_a_null_group_is_kept(spark):
     df = spark.createDataFrame(data, "g string, y int, p double")
     got = {r["g"]: r["roc_auc"] for r in M.full_metrics(df, ["g"]).collect()}
     assert got == {None: 1.0, "g": 0.0}
+
+
+def test_missing_labels_and_scores_are_left_out_everywhere(spark):
+    pairs = [(1, 0.9), (0, 0.2), (None, 0.3), (1, None), (1, 0.1), (0, float("nan"))]
+    frame = spark.createDataFrame(pairs, "y int, p double").withColumn("county_name", F.lit("A"))
+    plain, full = M.confusion(frame).first(), M.full_metrics(frame).first()
+    assert (plain["n"], plain["tp"], plain["fn"], plain["tn"], plain["fp"]) == (3, 1, 1, 1, 0)
+    assert full["confusion_matrix"] == [[1, 0], [1, 1]] and full["n"] == 3
+    assert M.entity_performance(frame).first()["test_observations"] == 3
+    assert M.reliability_curve(frame).agg(F.sum("n")).first()[0] == 3
+    grid = {r["threshold"]: r["false_negatives"] for r in M.threshold_grid(frame).collect()}
+    assert grid[0.5] == 1
+    assert M.probability_histogram(frame).agg(F.sum("n")).first()[0] == 3
