@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import oracle_tables as O
@@ -18,7 +20,11 @@ from harbinger.operators import neighbours as G
 from harbinger.operators import quality as Q
 from harbinger.operators.panel import join_feeds, panel_features
 from harbinger.sources.dimension import insert_absent, list_entities
-from harbinger.sources.manifest import already_ingested, latest_assets, source_registry, with_staleness
+from harbinger.sources.manifest import (
+    MANIFEST_COLUMNS, MANIFEST_SCHEMA, already_ingested, commit_records, latest_assets, read_manifest, source_registry,
+    with_staleness,
+)
+from harbinger.sources.shared import settle, shared_folder
 from harbinger.sources.storage import fingerprint
 
 PANEL_DOUBLES = [
@@ -791,6 +797,30 @@ def manifest_query(spark, sf):
     return latest_assets(manifest_log(spark, sf)).drop("retrieval_timestamp")
 
 
+@query(
+    "manifest_after_rerun",
+    f"""WITH {LOG} SELECT dataset_name, sha256_checksum, ingestion_status, asset_id FROM log
+    QUALIFY row_number() OVER (PARTITION BY dataset_name, sha256_checksum, ingestion_status
+      ORDER BY retrieval_timestamp < TIMESTAMP '1998-01-01' DESC, retrieval_timestamp DESC, asset_id DESC) = 1""",
+)
+def manifest_rerun_query(spark, sf):
+    """A manifest after a first landing, a landing of all records and a rerun of that.
+
+    Records keep their first landing; the rerun adds nothing.
+    """
+    kinds = dict(part.strip().split(" ", 1) for part in MANIFEST_SCHEMA.split(", "))
+    log = manifest_log(spark, sf)
+    log = settle(log.select(*[
+        (F.col(c) if c in log.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in MANIFEST_COLUMNS
+    ]))
+    path = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    commit_records(log.where("retrieval_timestamp < TIMESTAMP '1998-01-01'"), path)
+    commit_records(log, path)
+    if commit_records(log, path):
+        raise AssertionError("a rerun added records")
+    return read_manifest(spark, path).select("dataset_name", "sha256_checksum", "ingestion_status", "asset_id")
+
+
 @query(
     "duplicate_assets",
     f"""WITH {LOG} SELECT asset_id, dataset_name, sha256_checksum FROM log a WHERE ingestion_status <> 'success'

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import oracle_tables as O
 from checks import standins as S
 from checks.catalog import query, r6
+from harbinger import fixed_values as V
 from harbinger.functions.scalars import blend, ensemble_spread
 from harbinger.operators import baselines as B
 from harbinger.operators import metrics as M
 from harbinger.operators import splits as P
 from harbinger.operators.bootstrap import block_bootstrap
 from harbinger.operators.importance import feature_stability
+from harbinger.plans import experiments as X
 from harbinger.plans.views import best_registry_row, registry_slice, select_model, top_features
+from harbinger.sources.shared import settle, shared_folder
 
 FEATURES_NOT_NULL = " AND ".join(
     f"{c} IS NOT NULL"
@@ -512,3 +517,62 @@ def registry_best_query(spark, sf):
     )
     best = best_registry_row(registry_slice(rows, 1, "fold2"))
     return best.select("model_name", "f1_score", "recall")
+
+
+def _registry_sql(model: str, p: str) -> str:
+    return f"SELECT h, fold_name, '{model}' AS model_name, train_samples, label AS y, {p} AS p FROM ev"
+
+
+REGISTRY = f"""{O.LONG}, {FOLDS},
+lines AS (SELECT horizon_months AS h, fold_name, role, county_name, month, label, previous_ipc_phase FROM roles),
+g AS (SELECT h, fold_name, avg(label) AS rate, count(*) AS train_samples FROM lines WHERE role = 'train' GROUP BY 1, 2),
+e AS (SELECT h, fold_name, county_name, avg(label) AS rate FROM lines WHERE role = 'train' GROUP BY 1, 2, 3),
+m AS (SELECT h, fold_name, month, avg(label) AS rate FROM lines WHERE role = 'train' GROUP BY 1, 2, 3),
+em AS (SELECT h, fold_name, county_name, month, avg(label) AS rate FROM lines WHERE role = 'train' GROUP BY 1, 2, 3, 4),
+ev AS (SELECT l.*, g.rate AS g, e.rate AS e, m.rate AS m, em.rate AS em, train_samples FROM lines l
+  JOIN g USING (h, fold_name) LEFT JOIN e USING (h, fold_name, county_name) LEFT JOIN m USING (h, fold_name, month)
+  LEFT JOIN em USING (h, fold_name, county_name, month) WHERE role = 'eval'),
+predicted AS ({_registry_sql("persistence", "CASE WHEN previous_ipc_phase >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")}
+  UNION ALL {_registry_sql("historical_frequency", "greatest(0.001::DOUBLE, least(0.999::DOUBLE, coalesce(e, g)))")}
+  UNION ALL {_registry_sql("seasonal_baseline", "greatest(0.001::DOUBLE, least(0.999::DOUBLE, coalesce(em, m, g)))")}),
+counts AS (SELECT h, fold_name, model_name, p, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg
+  FROM predicted GROUP BY ALL),
+c AS (SELECT h, fold_name, model_name, any_value(train_samples) AS train_samples, {CONFUSION.format(t="0.5")}
+  FROM predicted GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "registry_append",
+    f"""WITH {REGISTRY} SELECT 'exp_' || c.h || 'm_' || c.fold_name || '_' || c.model_name AS experiment_id,
+      CAST(c.h AS INTEGER) AS forecast_horizon, c.fold_name, c.model_name, 'all_features' AS feature_set,
+      {len(V.LONG_FEATURES)}::BIGINT AS num_features, train_samples, n AS test_samples,
+      {RATES.replace(", 6)", ", 9)")}, round(coalesce(roc_auc, 0.5), 9) AS roc_auc,
+      round(coalesce(pr_auc, 0), 9) AS pr_auc, round(brier, 9) AS brier_score, '2001-01-02' AS timestamp
+    FROM c JOIN {areas("h, fold_name, model_name", "counts")} a
+      ON a.h = c.h AND a.fold_name = c.fold_name AND a.model_name = c.model_name""",
+)
+def registry_append_query(spark, sf):
+    """The experiment store after a first run of one horizon and a second run of all."""
+    long = settle(S.long_table(spark, sf, True))
+    store = X.ExperimentStore(spark, f"{shared_folder(spark)}/experiments-{uuid.uuid4().hex}")
+    for at, horizons in (("2001-01-01", (2,)), ("2001-01-02", (1, 2, 3))):
+        predictions = X.model_predictions(long, S.FOLDS, X.BASELINES, horizons=horizons)
+        store.add(predictions, X.registry_rows(predictions, 9), at)
+    return store.registry().withColumn("timestamp", F.col("timestamp").cast("string"))
+
+
+@query(
+    "stored_entity_performance",
+    f"""WITH {REGISTRY}, one AS (SELECT roles.county_name, label AS y,
+      CASE WHEN previous_ipc_phase >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p FROM roles
+      WHERE role = 'eval' AND fold_name = 'test_2000' AND horizon_months = 1),
+    k AS (SELECT county_name, {CONFUSION.format(t="0.5")}, avg(p) AS mean_p, sum(y)::BIGINT AS events FROM one GROUP BY 1)
+    SELECT county_name, n AS test_observations, events AS positive_events, {RATES.replace(", 6)", ", 9)")},
+      round(brier, 9) AS brier_score, round(mean_p, 9) AS mean_predicted_probability FROM k""",
+)
+def stored_performance_query(spark, sf):
+    """Performance by entity from the stored predictions of one experiment."""
+    long = S.long_table(spark, sf, True)
+    folder = f"{shared_folder(spark)}/experiments-{uuid.uuid4().hex}"
+    store = X.run_experiments(long, folder, "2001-01-02", S.FOLDS, models=("persistence",), horizons=(1,))
+    return M.entity_performance(store.predictions("exp_1m_test_2000_persistence"), decimals=9)

@@ -305,3 +305,9 @@ BLEND_WEIGHTS = (0.2, 0.4, 0.4)
 STABILITY_CLASSES = (
     "Consistently Important", "Moderately Stable", "Horizon-Dependent", "Low Contribution",
 )
+
+# Columns stored beside a prediction, for the audit of errors
+PREDICTION_CONTEXT = [
+    "rainfall_anomaly_lag1", "ndvi_anomaly_lag1", "maize_price_zscore", "previous_ipc_phase",
+    "neighbour_mean_rainfall_anomaly", "number_of_high_risk_neighbours",
+]

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml.feature import ImputerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harbinger import fixed_values as V
@@ -22,6 +22,7 @@ from harbinger.operators.importance import feature_stability, permutation_import
 from harbinger.operators.metrics import full_metrics, reliability_curve
 from harbinger.operators.splits import rolling_origin, split_by_year
 from harbinger.plans.views import select_model
+from harbinger.sources.storage import replace_report
 
 LABEL = L.LABEL
 BASELINES = ("persistence", "historical_frequency", "seasonal_baseline")
@@ -38,10 +39,15 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def _context(df: DataFrame) -> list[str]:
+    """What an error audit wants to see beside a prediction, as far as the table has it."""
+    return [c for c in V.PREDICTION_CONTEXT if c in df.columns]
+
+
 def _predictions(scored: DataFrame, **tags) -> DataFrame:
     return scored.select(
         *[F.lit(v).alias(k) for k, v in tags.items()],
-        "county_name", "observation_date", F.col(LABEL).cast("int").alias("y"), "p",
+        "county_name", "observation_date", F.col(LABEL).cast("int").alias("y"), "p", *_context(scored),
     )
 
 
@@ -59,6 +65,8 @@ def model_predictions(
     assigned = L.settle(rolling_origin(long, folds))
     spark = long.sparkSession
     cells = [(h, name) for h in horizons for name, *_ in folds]
+    sizes = assigned.where(F.col("role") == "train").groupBy("horizon_months", "fold_name").count()
+    train_rows = {(r["horizon_months"], r["fold_name"]): r["count"] for r in sizes.collect()}
     train = {c: _fold_rows(assigned, c[1], c[0], "train") for c in cells}
     held = {c: _fold_rows(assigned, c[1], c[0], "eval") for c in cells}
     # boosting is the longest chain of jobs, so it starts first
@@ -73,7 +81,8 @@ def model_predictions(
     ))
 
     def predict(c: tuple[int, str]) -> DataFrame:
-        tags, frames = {"horizon": c[0], "fold_name": c[1]}, []
+        tags = {"horizon": c[0], "fold_name": c[1], "train_samples": train_rows.get(c, 0), "num_features": len(features)}
+        frames = []
         if learned:
             scored = L.score_all({m: models_of[m, c] for m in learned}, held[c], features)
             columns = {m: F.col(f"p_{m}") for m in learned if m in models}
@@ -94,23 +103,31 @@ def model_predictions(
 def _stacked(scored: DataFrame, columns: dict, tags: dict) -> DataFrame:
     """One row per model from a row with the probabilities of all."""
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("model_name"), p.alias("p")) for m, p in columns.items()]))
-    rows = scored.select("county_name", "observation_date", F.col(LABEL).cast("int").alias("y"), each.alias("_m"))
+    context = _context(scored)
+    rows = scored.select(
+        "county_name", "observation_date", F.col(LABEL).cast("int").alias("y"), *context, each.alias("_m")
+    )
     return rows.select(
         F.col("_m.model_name").alias("model_name"), *[F.lit(v).alias(k) for k, v in tags.items()],
-        "county_name", "observation_date", "y", F.col("_m.p").alias("p"),
+        "county_name", "observation_date", "y", F.col("_m.p").alias("p"), *context,
     )
 
 
-def registry_rows(predictions: DataFrame, decimals: int = 4) -> DataFrame:
+SIZES = ["train_samples", "num_features"]
+
+
+def registry_rows(predictions: DataFrame, decimals: int = 4, feature_set: str = "all_features") -> DataFrame:
     """Metric row per model, fold and horizon; areas default to 0.5 and 0 for one class."""
     keys = ["horizon", "fold_name", "model_name"]
-    out = full_metrics(predictions, keys, 0.5, decimals=decimals)
+    # the sizes are the same in all rows of a key
+    out = full_metrics(predictions, [*keys, *SIZES], 0.5, decimals=decimals)
     return out.select(
         F.concat_ws("_", F.lit("exp"), F.concat("horizon", F.lit("m")), "fold_name", "model_name").alias("experiment_id"),
         F.col("horizon").alias("forecast_horizon"),
         "fold_name",
         "model_name",
-        F.lit("all_features").alias("feature_set"),
+        F.lit(feature_set).alias("feature_set"),
+        *[F.col(c).cast("long").alias(c) for c in reversed(SIZES)],
         F.col("n").alias("test_samples"),
         "recall", "precision", "f1_score",
         F.coalesce("roc_auc", F.lit(0.5)).alias("roc_auc"),
@@ -120,6 +137,60 @@ def registry_rows(predictions: DataFrame, decimals: int = 4) -> DataFrame:
     )
 
 
+def ablation_registry(ablation: DataFrame, fold: str, horizon: int, train_samples: int, test_samples: int) -> DataFrame:
+    """Rows of :func:`group_ablation` in the columns of the registry."""
+    return ablation.select(
+        F.concat(F.lit(f"ablation_h{horizon}_"), "ablation_set").alias("experiment_id"),
+        F.lit(horizon).alias("forecast_horizon"), F.lit(fold).alias("fold_name"),
+        F.lit("random_forest_ablation").alias("model_name"), F.col("ablation_set").alias("feature_set"),
+        F.col("feature_count").cast("long").alias("num_features"), F.lit(train_samples).cast("long").alias("train_samples"),
+        F.lit(test_samples).cast("long").alias("test_samples"), "recall", "precision", "f1_score",
+        F.coalesce("roc_auc", F.lit(0.5)).alias("roc_auc"), F.coalesce("pr_auc", F.lit(0.0)).alias("pr_auc"),
+        "brier_score", F.round(1 - F.col("recall"), 4).alias("false_negative_rate"),
+    )
+
+
+class ExperimentStore:
+    """Predictions with their context and registry rows, each experiment under its id.
+
+    Storing an experiment again replaces it; the others are not touched.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def add(self, predictions: DataFrame | None, registry: DataFrame, at: str) -> None:
+        """Store registry rows, stamped with the time, and the predictions they come from."""
+        replace_report(registry.withColumn("timestamp", F.lit(at)), f"{self.folder}/registry")
+        if predictions is not None:
+            name = F.concat_ws("_", F.lit("exp"), F.concat("horizon", F.lit("m")), "fold_name", "model_name")
+            replace_report(predictions.withColumn("experiment_id", name), f"{self.folder}/predictions")
+
+    def registry(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/registry")
+
+    def predictions(self, experiment: str | None = None) -> DataFrame:
+        """Stored predictions; those of one experiment are one partition."""
+        rows = self.spark.read.parquet(f"{self.folder}/predictions")
+        return rows if experiment is None else rows.where(F.col("experiment_id") == experiment)
+
+
+def run_experiments(
+    long: DataFrame, folder: str, at: str, folds: Sequence[tuple] = tuple(V.EXPERIMENT_FOLDS),
+    ablation_fold: str | None = None, **options,
+) -> ExperimentStore:
+    """Fit the grid, store predictions and registry rows, and the ablation of one fold at horizon 1."""
+    store = ExperimentStore(long.sparkSession, folder)
+    predictions = L.settle(model_predictions(long, folds, **options))
+    store.add(predictions, registry_rows(predictions), at)
+    if ablation_fold is not None:
+        assigned = L.settle(rolling_origin(long, folds))
+        train, held = (_fold_rows(assigned, ablation_fold, 1, role) for role in ("train", "eval"))
+        rows = ablation_registry(group_ablation(train, held), ablation_fold, 1, train.count(), held.count())
+        store.add(None, rows, at)
+    return store
+
+
 def group_ablation(
     train: DataFrame, held: DataFrame, groups: dict[str, list[str]] | None = None,
     model: str = "random_forest", seed: int = 42,
@@ -137,7 +208,7 @@ def group_ablation(
     for (name, features), one in zip(sets.items(), fitted, strict=True):
         scored = L.score(one, held, features, "median")
         frames.append(
-            _predictions(scored, ablation_set=name, feature_count=len(features)).drop("county_name", "observation_date")
+            _predictions(scored, ablation_set=name, feature_count=len(features)).select("ablation_set", "feature_count", "y", "p")
         )
     return full_metrics(_union(frames), ["ablation_set", "feature_count"]).select(
         "ablation_set", "feature_count", "recall", "precision", "f1_score", "roc_auc", "pr_auc", "brier_score"

@@ -1,7 +1,14 @@
-"""Source registry and the append-only asset manifest."""
+"""Source registry and the append-only asset manifest.
+
+A record is known by data set, checksum and status. Committing one that the manifest holds
+adds nothing, and a batch of records appears whole, by one rename, or not at all: a job that
+is retried or run again leaves the manifest as one run would.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +17,8 @@ from harbinger.functions.calendar import is_stale, staleness_days
 from harbinger.operators.keys import keep_last
 from harbinger.operators.names import coverage_summary
 from harbinger.sources.feeds import coverage_dates, normalise, read_csv
-from harbinger.sources.storage import fingerprint, path_exists, pick_snapshot
+from harbinger.sources.shared import settle
+from harbinger.sources.storage import drop_folder, fingerprint, has_files, move_folder, path_exists, pick_snapshot
 
 REGISTRY_SCHEMA = (
     "source_key string, name string, provider string, url string, update_frequency string, "
@@ -73,14 +81,16 @@ def ingest(
     raw = read_csv(spark, path, row[8])
     data = normalise(raw, FEED_OF_SOURCE[source_key], dim)
     coverage = coverage_summary(raw, dim)
-    facts = (
-        data.agg(F.count(F.lit(1)).alias("row_count"))
-        .withColumn("_", F.lit(1))
-        .join(coverage_dates(raw).withColumn("_", F.lit(1)), "_")
-        .join(coverage.select(F.col("matched_counties").alias("geographic_coverage"), F.lit(1).alias("_")), "_")
-        .join(fingerprint(spark, path).withColumn("_", F.lit(1)), "_")
-        .drop("_")
-    )
+    # each is one row; as scalar sub-queries they need no join
+    dates, counties = coverage_dates(raw), coverage.select("matched_counties")
+    file = fingerprint(spark, path)
+    facts = data.agg(F.count(F.lit(1)).alias("row_count")).withColumns(
+        {
+            "_dates": dates.select(F.struct("date_coverage_start", "date_coverage_end")).scalar(),
+            "_file": file.select(F.struct("file_size_bytes", "sha256_checksum")).scalar(),
+            "geographic_coverage": counties.scalar(),
+        }
+    ).select("row_count", "geographic_coverage", "_dates.*", "_file.*")
     days = staleness_days(F.col("date_coverage_end"), F.lit(as_of).cast("date"))
     when = F.lit(retrieved_at).cast("timestamp")
     record = facts.select(
@@ -108,11 +118,59 @@ def ingest(
     return data, record, coverage
 
 
-def append_manifest(record: DataFrame, path: str) -> None:
-    record.select(*MANIFEST_COLUMNS).write.mode("append").parquet(path)
+def failed_record(spark: SparkSession, source_key: str, error: str, retrieved_at: str, path: str | None = None) -> DataFrame:
+    """The record of a source whose file could not be taken in."""
+    row = next(s for s in V.SOURCES if s[0] == source_key)
+    told = {
+        "asset_id": F.concat_ws("-", F.lit(source_key), F.date_format(F.lit(retrieved_at).cast("timestamp"), "yyyyMMddHHmmss"), F.lit("failed")),
+        "dataset_name": F.lit(source_key), "source_provider": F.lit(row[2]), "source_url": F.lit(row[3]),
+        "retrieval_timestamp": F.lit(retrieved_at).cast("timestamp"), "file_path": F.lit(path),
+        "ingestion_status": F.lit("failed"), "error_message": F.lit(error),
+    }
+    kinds = dict(part.strip().split(" ", 1) for part in MANIFEST_SCHEMA.split(", "))
+    return spark.range(1).select(*[told.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in MANIFEST_COLUMNS])
+
+
+# a failed source may have no checksum; its message stands for it
+RECORD_KEY = ["dataset_name", "_content", "ingestion_status"]
+
+
+def _keyed(records: DataFrame) -> DataFrame:
+    content = F.coalesce("sha256_checksum", "error_message", F.lit(""))
+    return records.select(*MANIFEST_COLUMNS).withColumn("_content", content)
+
+
+def commit_records(records: DataFrame, path: str) -> int:
+    """Add the records that the manifest does not hold; returns how many.
+
+    They are written beside the manifest, under a name that readers pass over, and renamed
+    to one that follows from their keys: of two jobs that commit the same records one wins
+    and the other finds the work done.
+    """
+    spark = records.sparkSession
+    first = keep_last(_keyed(records), RECORD_KEY, ["retrieval_timestamp", "asset_id"])
+    held = _keyed(read_manifest(spark, path)).select(*RECORD_KEY)
+    new = settle(first.join(held, RECORD_KEY, "left_anti"))
+    key = F.concat_ws("|", *RECORD_KEY)
+    # one row a file of this landing
+    batch = new.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(key))), 256).alias("id")).first()
+    if not batch["n"]:
+        return 0
+    staged, target = f"{path}/_staged-{uuid.uuid4().hex}", f"{path}/batch-{batch['id']}"
+    new.select(*MANIFEST_COLUMNS).write.parquet(staged)
+    if path_exists(spark, target):
+        drop_folder(spark, staged)
+        return 0
+    move_folder(spark, staged, target)
+    return batch["n"]
+
+
+def append_manifest(record: DataFrame, path: str) -> int:
+    return commit_records(record, path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    if path_exists(spark, path):
-        return spark.read.parquet(path)
+    """All committed records; those of a write under way are not seen."""
+    if path_exists(spark, path) and has_files(spark, path, "batch-"):
+        return spark.read.schema(MANIFEST_SCHEMA).option("recursiveFileLookup", True).parquet(path)
     return spark.createDataFrame([], MANIFEST_SCHEMA)

@@ -25,6 +25,20 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def move_folder(spark: SparkSession, path: str, target: str) -> None:
+    """One rename; an error where the target is there already."""
+    fs, where = _file_system(spark, path)
+    _, there = _file_system(spark, target)
+    if fs.exists(there) or not fs.rename(where, there):
+        raise FileExistsError(f"could not rename to {target}")
+
+
+def has_files(spark: SparkSession, path: str, prefix: str) -> bool:
+    """Whether some entry of a folder begins with the prefix."""
+    fs, where = _file_system(spark, path)
+    return any(s.getPath().getName().startswith(prefix) for s in fs.listStatus(where))
+
+
 def first_existing(spark: SparkSession, *paths: str) -> str:
     for path in paths:
         if path_exists(spark, path):
@@ -162,6 +176,12 @@ def write_report(df: DataFrame, path: str, mode: str = "append", partition_by: s
     writer.json(path)
 
 
+def replace_report(df: DataFrame, path: str, key: str = "experiment_id") -> None:
+    """Store report rows under their key: those of an earlier run with the same key are replaced."""
+    spread = df.repartition(key).sortWithinPartitions(key)
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.json(path) if path_exists(spark, path) else None
 

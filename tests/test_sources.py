@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from harbinger import fixed_values as V
 from harbinger.operators import names as N
 from harbinger.operators.quality import SchemaDrift
-from harbinger.plans.build import run_build
+from harbinger.plans.build import run_build, stored_forecasts, stored_scores
 from harbinger.sources import dimension as D
 from harbinger.sources import feeds as R
 from harbinger.sources import manifest as M
@@ -199,11 +199,12 @@ def test_whole_build(spark, tmp_path, dim):
     rain = latest["rainfall_chirps"]
     assert (rain["date_coverage_start"], rain["date_coverage_end"], rain["row_count"], rain["is_stale"]) == ("2019-01", "2020-12", 72, True)
     assert rain["geographic_coverage"] == ["Lamu", "Marsabit", "Turkana"] and len(rain["sha256_checksum"]) == 64
-    assert rain["asset_id"] == f"rainfall_chirps-20210302100000-{rain['sha256_checksum'][:8]}"
+    # the dry run recorded the file; the second run found the record and added none
+    assert rain["asset_id"] == f"rainfall_chirps-20210301100000-{rain['sha256_checksum'][:8]}"
     quality = {r["source_key"]: r for r in S.read_report(spark, f"{out}/quality").collect()}
     assert quality["rainfall_chirps"]["status"] == V.STATUS_STALE and quality["ipc_food_security"]["status"] == V.STATUS_CURRENT
     again = M.already_ingested(M.read_manifest(spark, f"{out}/manifest"), M.read_manifest(spark, f"{out}/manifest"))
-    assert again.count() == 8
+    assert again.count() == 4 and log["models_trained"] is False
     assert S.read_report(spark, f"{out}/runs").count() == 2
     cut = run_build(spark, folders, out, dim, "2021-03-01", "2021-03-03 10:00:00", step="features", from_date="2020-06").first()
     assert cut["panel_rows"] == 36
@@ -215,6 +216,11 @@ def test_one_broken_source_does_not_stop_the_rest(spark, tmp_path, dim):
     log = run_build(spark, folders, str(tmp_path / "out"), dim, "2021-03-01", "2021-03-01 10:00:00").first()
     assert log["status"] == "partial_failure" and log["failed"][0].startswith("market_prices")
     assert log["panel_rows"] is None and len(log["succeeded"]) == 3 and log["unmatched"] == []
+    run_build(spark, folders, str(tmp_path / "out"), dim, "2021-03-01", "2021-03-02 10:00:00", step="ingest")
+    records = M.read_manifest(spark, str(tmp_path / "out" / "manifest"))
+    failed = records.where("ingestion_status = 'failed'").collect()
+    assert records.count() == 4 and [r["dataset_name"] for r in failed] == ["market_prices"]
+    assert failed[0]["error_message"] and failed[0]["sha256_checksum"] is None
 
 
 def test_unmatched_names_are_reported(spark, tmp_path, dim):
@@ -222,3 +228,41 @@ def test_unmatched_names_are_reported(spark, tmp_path, dim):
     put(tmp_path / "raw" / "climate" / V.SOURCES[0][7], "county_name,year,month,rainfall_mm,rainfall_anomaly\nOz,2019,1,1,1\n")
     log = run_build(spark, folders, str(tmp_path / "out"), dim, "2021-03-01", "2021-03-01 10:00:00", step="ingest").first()
     assert log["unmatched"] == ["rainfall_chirps: 1"] and log["status"] == "success"
+
+
+def test_training_from_the_stored_table(spark, tmp_path, dim):
+    folders, out = feed_files(tmp_path / "raw"), str(tmp_path / "out")
+    folds = [
+        ("v", "2019-01-01", "2019-12-31", "2020-01-01", "2020-08-31", "validation"),
+        ("t", "2019-01-01", "2020-08-31", "2020-09-01", "2020-12-31", "test"),
+    ]
+    options = {"folds": folds, "candidates": ("logistic_regression", "random_forest"), "max_iter": 3}
+    run_build(spark, folders, out, dim, "2021-03-01", "2021-03-01 10:00:00", step="features")
+    log = run_build(spark, folders, out, dim, "2021-03-01", "2021-03-01 10:00:00", step="train", **options).first()
+    assert log["models_trained"] is True and log["attempted"] == []
+    metrics = spark.read.parquet(f"{out}/metrics")
+    assert metrics.count() == 9 and {r[0] for r in metrics.select("experiment_id").collect()} == {"backtest"}
+    forecasts = stored_forecasts(spark, out)
+    assert rows(forecasts.select("county_name", "horizon_months")) == [(c, h) for c in ("Lamu", "Marsabit", "Turkana") for h in (1, 2, 3)]
+    assert forecasts.where("risk_probability between 0 and 1").count() == 9
+    run_build(spark, folders, out, dim, "2021-03-01", "2021-03-02 10:00:00", step="train", **options)
+    assert spark.read.parquet(f"{out}/metrics").count() == 9  # replaced, not added
+    scored = stored_scores(spark, out)
+    assert scored.count() == 72 and scored.where("model_risk_prob between 0 and 1").count() == 72
+
+
+def test_a_commit_that_died_before_its_rename_leaves_no_trace(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "manifest")
+    record = M.failed_record(spark, "market_prices", "no header", "2021-03-01 10:00:00")
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(M, "move_folder", dies)
+        with pytest.raises(RuntimeError, match="lost"):
+            M.commit_records(record, path)
+    assert M.read_manifest(spark, path).isEmpty()
+    assert M.commit_records(record, path) == 1 and M.commit_records(record, path) == 0
+    assert M.commit_records(record.union(record), path) == 0
+    assert M.read_manifest(spark, path).count() == 1
