@@ -6,7 +6,8 @@ of three hashes and RIGHT half-keys of two. LEFT * RIGHT tables so need only
 At similarity J a pair meets in some table with probability
 (1 - (1 - J^3)^LEFT) * (1 - (1 - J^2)^RIGHT): 0.9985 at 0.8 and 0.9998 at 0.85.
 
-1. Texts with the same shingle set become one class; its node is its smallest id.
+1. Texts with the same shingle set become one class, which has a number of its own: ids
+   come back only at the end, so that rows which share an id cannot be taken for each other.
 2. Keys of the classes are counted (map-side combine); keys of one class only go.
 3. Each class is checked on full sets against the class it meets most often.
 4. Keys that still join different components are walked run by run. Sketches (one byte
@@ -47,7 +48,7 @@ HASHES = LEFT * LEFT_ROWS + RIGHT * RIGHT_ROWS
 BLOCK = 192
 SEED = 20240229
 
-SIGNED = "doc_id long, n_shingles long, set_key binary, halves array<long>, sketch binary"
+SIGNED = "doc_id long, text_key binary, n_shingles long, set_key binary, halves array<long>, sketch binary"
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +80,14 @@ def _halves(low: np.ndarray) -> np.ndarray:
     return out
 
 
+def _text_key(text: str | None) -> bytes:
+    return xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
+
+
+def _set_key(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def sign(docs: DataFrame, k: int) -> DataFrame:
     """Set size, set identity, half-keys and sketch of every row, in one pass."""
 
@@ -86,8 +95,9 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
         words = WordHashes()
         a, b = _coefficients()
         for batch in batches:
-            sizes, keys, halves, sketches = [], [], [], []
+            sizes, keys, halves, sketches, own = [], [], [], [], []
             for text in texts(batch):
+                own.append(_text_key(text))
                 s = shingle_set(text, words, k)
                 sizes.append(len(s))
                 if not len(s):
@@ -96,18 +106,19 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
                     sketches.append(None)
                     continue
                 low = _minima(s, a, b)
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                keys.append(_set_key(s))
                 halves.append(_halves(low).view(np.int64))
                 sketches.append((mix(low) & np.uint64(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
+                    pa.array(own, pa.binary()),
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, pa.binary()),
                     long_lists(halves),
                     pa.array(sketches, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "set_key", "halves", "sketch"],
+                ["doc_id", "text_key", "n_shingles", "set_key", "halves", "sketch"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNED)
@@ -132,19 +143,28 @@ def _shared_keys(classes: DataFrame) -> DataFrame:
     return keys.join(shared.where("lead < last").drop("last"), "key")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of the named rows; only rows that may be wanted are moved."""
+def _sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of classes (node, doc_id, set_key), from rows of their documents.
+
+    Only rows whose id may be wanted are moved; a row of that id with another set is passed
+    over.
+    """
 
     def run(batches):
         words = WordHashes()
         for batch in batches:
-            out = [shingle_set(t, words, k).tobytes() for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], ["node", "shingles"])
+            wanted, nodes, out = batch.column("set_key").to_pylist(), [], []
+            for text, node, key in zip(texts(batch), batch.column("node").to_pylist(), wanted, strict=True):
+                own = shingle_set(text, words, k)
+                if _set_key(own) == key:
+                    nodes.append(node)
+                    out.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], ["node", "shingles"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    wanted = with_hits(wanted, "node", hit_filter(nodes, "node")).where("_hit").drop("_hit")
-    rows = wanted.join(nodes, "node").mapInArrow(run, "node long, shingles binary")
-    return rows.dropDuplicates(["node"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = with_hits(rows, "doc_id", hit_filter(classes, "doc_id")).where("_hit").drop("_hit")
+    met = rows.join(classes.select("node", "doc_id", "set_key"), "doc_id").select("node", "text", "set_key")
+    return met.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def similar(inter, union, percent: int):
@@ -301,26 +321,21 @@ def _compare_blocks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("pair").applyInPandas(run, "a long, b long")
 
 
-def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
-
-    Rows whose word-shingle sets (k words, A-Z lowered) have at least ``percent``
-    hundredths in common are linked; ``component_id`` is the smallest doc_id reachable.
-    Null and wordless texts have no shingles and are linked with nothing. Repeated rows
-    are exact copies; rows that share an id count as one document. A row without an id
-    takes the component of its copies (NULL when it has none with an id) and is not kept
-    as a representative. ``docs`` needs doc_id and text; other columns are ignored.
-    """
+def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """One row per input row: doc_id, text_key, n_shingles, and its component as a node."""
     bound_batches(docs.sparkSession)
     signed = settle(sign(docs, k))
     named = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    same = named.groupBy("set_key").agg(
-        F.min(F.struct("doc_id", "n_shingles", "halves", "sketch")).alias("s")
+    same = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "halves", "sketch")).alias("s"))
+    classes = settle(
+        same.select("set_key", F.col("s.doc_id").alias("doc_id"), "s.halves", "s.sketch").withColumn(
+            "node", F.monotonically_increasing_id()
+        )
     )
-    classes = settle(same.select("set_key", F.col("s.doc_id").alias("node"), "s.halves", "s.sketch"))
     shared = settle(_shared_keys(classes))
 
-    sets = settle(_sets(docs, shared.select("node").distinct(), k))
+    met_ones = classes.join(shared.select("node").distinct(), "node").select("node", "doc_id", "set_key")
+    sets = settle(_sets(docs, settle(met_ones), k))
     met = shared.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("n"))
     best = met.groupBy("node").agg(F.max(F.struct("n", (-F.col("lead")).alias("l"))).alias("m"))
     stars = best.select(F.col("node").alias("a"), (-F.col("m.l")).alias("b"))
@@ -337,8 +352,26 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     more = _compare_blocks(pairs.join(sets, "node"), percent)
 
     last = components(first.select("node", "root").union(more), "node", "root")
-    ids = classes.select("set_key", "node").join(last, "node", "left").select("set_key", comp.alias("component_id"))
-    out = signed.join(ids, "set_key", "left")
+    placed = classes.select("set_key", "node", "doc_id").join(last, "node", "left").select("set_key", "doc_id", comp.alias("comp"))
+    smallest = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    ids = placed.drop("doc_id").join(smallest, "comp")
+    return signed.select("doc_id", "text_key", "n_shingles", "set_key").join(ids, "set_key", "left")
+
+
+def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    Rows whose word-shingle sets (k words, A-Z lowered) have at least ``percent``
+    hundredths in common are linked; ``component_id`` is the smallest doc_id reachable.
+    Null and wordless texts have no shingles and are linked with nothing. Repeated rows
+    are exact copies. Rows that share an id but not a text are linked by their own texts
+    only, each with its own component, whatever the order of the rows. A row without an id
+    takes the component of its copies (NULL when it has none with an id) and is not kept
+    as a representative. Very long texts are read whole; only their sets and hashes are
+    kept. An empty table gives no rows. ``docs`` needs doc_id and text; other columns are
+    ignored.
+    """
+    out = _linked(docs, k, percent)
     alone = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
         "doc_id",
@@ -349,16 +382,30 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its group, each document once.
+    """The rows of ``docs`` that are the first of their group: by id, then by hash of the text.
 
-    Only rows whose id may be that of a dropped or repeated document are moved. Rows
+    Repeated rows stay once. Rows that share an id but not a text are told apart by the
+    text. Only rows whose id may be that of a dropped or repeated document are moved. Rows
     without an id cannot be named by a link and stay.
     """
-    linked = link_documents(docs, k, percent).where(F.col("doc_id").isNotNull())
-    per = linked.groupBy("doc_id").agg(F.bool_and("kept").alias("_kept"), F.count("*").alias("_n"))
-    odd = settle(per.where("not _kept or _n > 1").withColumn("_id", F.col("doc_id")).select("_id", "_kept"))
+    linked = settle(_linked(docs, k, percent).where(F.col("doc_id").isNotNull()))
+    one = F.struct("doc_id", "text_key")
+    # texts without shingles are groups of their own
+    firsts = linked.where("comp IS NOT NULL").groupBy("comp").agg(F.min(one).alias("_first"))
+    texts_ = linked.groupBy("doc_id", "text_key", "comp").agg(F.count("*").alias("_n")).join(firsts, "comp", "left")
+    kept = F.coalesce(F.col("_first") == one, F.lit(True))
+    each = settle(texts_.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), kept.alias("_kept"), "_n"))
+    per = each.groupBy("_id").agg(F.bool_and("_kept").alias("k"), F.sum("_n").alias("n"))
+    odd = hit_filter(settle(per.where("not k or n > 1").select("_id")), "_id")
     body = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
-    marked = with_hits(body, "_id", hit_filter(odd, "_id"))
+    marked = with_hits(body, "_id", odd)
     free = marked.where("not _hit or _id is null").select("_row.*")
-    met = marked.where("_hit and _id is not null").join(odd, "_id", "left").where("coalesce(_kept, true)")
-    return free.union(met.dropDuplicates(["_id"]).select("_row.*"))
+
+    @F.pandas_udf("binary")
+    def text_key(part: pd.Series) -> pd.Series:
+        return pd.Series([_text_key(t) for t in part], dtype=object)
+
+    met = marked.where("_hit and _id is not null").withColumn("_text", text_key(F.col("_row.text").cast("string")))
+    named = with_hits(each.where("_kept").select("_id", "_text"), "_id", odd).where("_hit").drop("_hit")
+    stays = met.join(named, ["_id", "_text"])
+    return free.union(stays.dropDuplicates(["_id", "_text"]).select("_row.*"))

@@ -88,3 +88,21 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 160)] + [(200, 200), (160, 201)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())
     assert got == {i: 1 for i in range(1, 61)} | {i: 100 for i in range(100, 160)} | {160: 160, 201: 160}
+
+
+def test_rows_that_share_an_id(spark):
+    """Each text is linked by itself, whatever the order of the rows."""
+    a = " ".join(f"first{i}" for i in range(60))
+    b = " ".join(f"second{i}" for i in range(60))
+    near_b = b.replace("second30 ", "other ")
+    rows = [(5, a), (5, b), (7, near_b), (9, a), (5, a)]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        frame = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        out = sorted((r.doc_id, r.component_id, r.kept) for r in link_documents(frame).collect())
+        assert out == [(5, 5, True)] * 3 + [(7, 5, False), (9, 5, False)]
+        left = sorted((r.doc_id, r.text) for r in drop_near_duplicates(frame).collect())
+        assert left == sorted([(5, a), (5, b)])
+    # two near texts under one id: one of them stays
+    frame = spark.createDataFrame([(5, b), (5, near_b), (6, "short text")], "doc_id long, text string")
+    left = sorted((r.doc_id, r.text) for r in drop_near_duplicates(frame).collect())
+    assert [i for i, _ in left] == [5, 6]
