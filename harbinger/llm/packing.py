@@ -8,12 +8,12 @@ sequence is cut down to the shortest permitted length that holds its contents.
 
 Rows are dealt by hash into shards of about SHARD_ROWS, each packed by one task, so the
 work is the same for each row at any size; the price is the last few sequences of a
-shard. A text longer than the longest sequence is cut into full pieces and a rest.
+shard. The hash holds a row number, so rows without an id, or with one id, spread as well. A text longer than the longest sequence is cut into full pieces and a rest.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,6 @@ from harbinger.llm.common import bound_batches, settle
 CAPACITIES = (512, 1024, 2048, 4096)
 ATTENTION = 16_384
 SHARD_ROWS = 2000
-LOOK_AHEAD = 64
 
 PLACED = "doc_id long, piece int, start long, length long, shard long, bin_no long, capacity long, offset long"
 
@@ -41,14 +40,19 @@ def pack_lengths(lengths: list[int], capacities: tuple[int, ...], costs: tuple[f
     bins: list[int] = []
     filled: list[int] = []
     where: list[int] = []
-    ascending = np.array(lengths[::-1], np.int64)
-    for at, length in enumerate(lengths):
+    values = sorted(set(lengths))
+    waiting = [0] * len(values)
+    place = {v: i for i, v in enumerate(values)}
+    for length in lengths:
+        waiting[place[length]] += 1
+    for length in lengths:
+        waiting[place[length]] -= 1
         spot = bisect_left(room, (length, -1))
         if spot < len(room):
             left, b = room.pop(spot)
         else:
             b = len(bins)
-            capacity = _open(at, length, ascending, capacities, costs)
+            capacity = _open(length, values, waiting, capacities, costs)
             bins.append(capacity)
             filled.append(0)
             left = capacity
@@ -59,20 +63,22 @@ def pack_lengths(lengths: list[int], capacities: tuple[int, ...], costs: tuple[f
     return where, [min(c for c in capacities if c >= f) for f in filled]
 
 
-def _open(at: int, length: int, ascending: np.ndarray, capacities, costs) -> int:
-    """The capacity with the least cost for each token it would hold; the shorter of equals."""
+def _open(length: int, values: list[int], waiting: list[int], capacities, costs) -> int:
+    """The capacity with the least cost for each token it would hold; the shorter of equals.
+
+    ``waiting`` counts the pieces still to come by their length in ``values``. Each length
+    is taken as often as it fits before the next shorter one, so a step for every
+    different length in the sequence fills it, however short the pieces are.
+    """
     best = None
-    waiting = len(ascending) - at - 1  # pieces still to come are the first of ``ascending``
     for capacity, cost in sorted(zip(capacities, costs, strict=True)):
         if capacity < length:
             continue
-        left, last = capacity - length, waiting
-        for _ in range(LOOK_AHEAD):
-            k = int(np.searchsorted(ascending[:last], left, "right"))
-            if k == 0:
-                break
-            left -= int(ascending[k - 1])
-            last = k - 1
+        left = capacity - length
+        k = bisect_right(values, left) - 1
+        while k >= 0 and left:
+            left -= min(waiting[k], left // values[k]) * values[k]
+            k = min(k - 1, bisect_right(values, left) - 1)
         rate = cost / (capacity - left)
         if best is None or rate < best[0] - 1e-12:
             best = (rate, capacity)
@@ -85,7 +91,7 @@ def pack(docs: DataFrame, length: Column, capacities: tuple[int, ...] = CAPACITI
     A sequence is (shard, bin_no); ``offset`` is where the piece begins in it and
     ``capacity`` the final length of the sequence. Rows of length zero or NULL are
     returned as one piece without a sequence. Repeated rows are packed as often as they
-    occur. ``docs`` needs doc_id; other columns are ignored.
+    occur; an empty table gives no rows. ``docs`` needs doc_id; other columns are ignored.
     """
     if not capacities or min(capacities) < 1:
         raise ValueError("capacities must be positive")
@@ -93,9 +99,9 @@ def pack(docs: DataFrame, length: Column, capacities: tuple[int, ...] = CAPACITI
     sizes = tuple(sorted(capacities))
     costs = tuple(float(cost(c)) for c in sizes)
     longest = sizes[-1]
-    rows = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("length")))
+    rows = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("length"), F.monotonically_increasing_id().alias("_row")))
     shards = max(1, -(-rows.count() // SHARD_ROWS))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "length"), F.lit(shards)))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "length", "_row"), F.lit(shards)))
     empty = dealt.where("length <= 0").select(
         "doc_id",
         F.lit(0).alias("piece"),

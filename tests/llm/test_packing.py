@@ -73,3 +73,60 @@ def test_empty_and_bad_input(empty, documents):
     assert pack_documents(documents).where("length > 0").agg(F.sum("length")).first()[0] > 60_000
     with pytest.raises(ValueError):
         pack(documents, F.lit(1), ())
+
+
+def exhaustive_open(length, waiting, capacities, costs):
+    """Piece by piece, the largest that fits, to the end; the cheapest length for each token held."""
+    rates = []
+    for capacity, cost in sorted(zip(capacities, costs, strict=True)):
+        if capacity >= length:
+            left = capacity - length
+            for piece in sorted(waiting, reverse=True):
+                if piece <= left:
+                    left -= piece
+            rates.append((cost / (capacity - left), capacity))
+    return min(r for r in rates)[1] if rates else None
+
+
+def exhaustive_pack(lengths, capacities, costs):
+    open_, bins = [], []
+    for at, length in enumerate(lengths):
+        fits = [(left, b) for b, left in enumerate(open_) if left >= length]
+        if fits:
+            b = min(fits)[1]
+        else:
+            b = len(open_)
+            capacity = exhaustive_open(length, lengths[at + 1 :], capacities, costs)
+            open_.append(capacity)
+            bins.append([])
+        open_[b] -= length
+        bins[b].append(length)
+    return sorted(sum(b) for b in bins)
+
+
+def test_equals_exhaustive_packing():
+    draw = random.Random(6)
+    for _ in range(60):
+        capacities = tuple(sorted(draw.sample([16, 32, 64, 128, 200], 3)))
+        costs = tuple(c * draw.uniform(0.5, 1.5) for c in capacities)
+        lengths = sorted((draw.randint(1, draw.choice([3, 40, capacities[-1]])) for _ in range(draw.randint(1, 150))), reverse=True)
+        lengths = [min(x, capacities[-1]) for x in lengths]
+        where, bins = pack_lengths(lengths, capacities, costs)
+        sums = {}
+        for b, length in zip(where, lengths, strict=True):
+            sums[b] = sums.get(b, 0) + length
+        assert sorted(sums.values()) == exhaustive_pack(lengths, capacities, costs)
+        assert all(bins[b] == min(c for c in capacities if c >= s) for b, s in sums.items())
+
+
+def test_many_short_pieces_fill_the_cheapest_length():
+    _, bins = pack_lengths([11] * 2000, (512, 1024, 2048, 4096), (512.0, 1000.0, 1900.0, 3500.0))
+    # 372 pieces fill 4,096 all but 4 tokens; the last 140 pieces are cheapest in shorter ones
+    assert sorted(bins) == [512, 512, 1024] + [4096] * 5 or sorted(bins) == [512, 1024] + [4096] * 5
+
+
+def test_rows_without_an_id_spread(spark):
+    frame = spark.range(9000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"))
+    out = pack_documents(frame)
+    sizes = [r["count"] for r in out.groupBy("shard").count().collect()]
+    assert sum(sizes) == 9000 and len(sizes) == 5 and max(sizes) < 3000
