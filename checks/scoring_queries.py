@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from checks import oracle_tables as O
@@ -15,7 +16,7 @@ from harbinger.operators import baselines as B
 from harbinger.operators import metrics as M
 from harbinger.operators import splits as P
 from harbinger.operators.bootstrap import block_bootstrap
-from harbinger.operators.importance import feature_stability
+from harbinger.operators.importance import feature_stability, permutation_importance
 from harbinger.plans import experiments as X
 from harbinger.plans.views import best_registry_row, registry_slice, select_model, top_features
 from harbinger.sources.shared import settle, shared_folder
@@ -576,3 +577,37 @@ def stored_performance_query(spark, sf):
     folder = f"{shared_folder(spark)}/experiments-{uuid.uuid4().hex}"
     store = X.run_experiments(long, folder, "2001-01-02", S.FOLDS, models=("persistence",), horizons=(1,))
     return M.entity_performance(store.predictions("exp_1m_test_2000_persistence"), decimals=9)
+
+
+RULE = ["previous_ipc_phase", "consecutive_dry_months"]
+SHUFFLES, SHUFFLE_SEED = 3, 7
+
+
+@query(
+    "permutation_rule",
+    f"""WITH {O.PANEL}, base AS (SELECT county_name || '-' || year || '-' || month AS id, target_phase3plus AS y,
+      CAST(previous_ipc_phase AS DOUBLE) AS a, CAST(consecutive_dry_months AS DOUBLE) AS b FROM panel
+      WHERE previous_ipc_phase IS NOT NULL AND target_phase3plus IS NOT NULL),
+    shuffled AS (SELECT r, y, a, b, coalesce(lead(a) OVER w, first_value(a) OVER w) AS oa,
+      coalesce(lead(b) OVER w, first_value(b) OVER w) AS ob FROM base, range(1, {SHUFFLES + 1}) AS t(r)
+      WINDOW w AS (PARTITION BY r ORDER BY md5('{SHUFFLE_SEED}-' || r || '-' || id))),
+    variants AS (SELECT '{RULE[0]}' AS feature, r, y, (oa * 10 + b) / 100 AS p FROM shuffled
+      UNION ALL SELECT '{RULE[1]}', r, y, (a * 10 + ob) / 100 FROM shuffled
+      UNION ALL SELECT 'none', 0, y, (a * 10 + b) / 100 FROM base),
+    counts AS (SELECT feature, r, p, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM variants GROUP BY ALL),
+    lost AS (SELECT feature, (SELECT roc_auc FROM {areas("feature, r", "counts")} WHERE feature = 'none') - roc_auc AS d
+      FROM {areas("feature, r", "counts")} WHERE feature <> 'none')
+    SELECT feature, round(avg(d), 9) AS permutation_importance_mean, round(stddev_pop(d), 9) AS permutation_importance_std
+    FROM lost GROUP BY 1""",
+)
+def permutation_rule_query(spark, sf):
+    """Permutation importance under a rule score, with every shuffle stated."""
+    rows = S.panel(spark, sf).where("previous_ipc_phase IS NOT NULL AND target_phase3plus IS NOT NULL")
+    part = vector_to_array("features")
+
+    def score(df):
+        return df.withColumn("p", (part[0] * 10 + part[1]) / 100)
+
+    return permutation_importance(
+        score, rows, RULE, ["county_name", "year", "month"], repeats=SHUFFLES, seed=SHUFFLE_SEED, decimals=9
+    )

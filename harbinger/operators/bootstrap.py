@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harbinger.operators import ranks
 from harbinger.operators.metrics import ranked_metrics, rates, score_counts
 
 METRICS = [
@@ -22,13 +23,10 @@ def drawn_slot(seed: int, replicate: Column, slot: Column, blocks: Column) -> Co
 def block_multiplicity(blocks: DataFrame, block: str, n: int, seed: int) -> DataFrame:
     """How often each block is drawn in each replicate; replicate 0 is the data itself.
 
-    One row per distinct block comes in, and blocks are dates, so numbering them in
-    one sorted pass is bounded by the calendar.
+    Blocks, one row each, are numbered by ranges, so there may be very many of them.
     """
-    numbered = blocks.select(
-        F.col(block), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(block)).alias("_no")
-    )
-    total = numbered.agg(F.count(F.lit(1)).alias("k")).scalar()
+    known = ranks.numbered(blocks.select(block).where(F.col(block).isNotNull()), [block], "_no")
+    total = known.agg(F.count(F.lit(1)).alias("k")).scalar()
     draws = (
         blocks.sparkSession.range(1, n + 1)
         .select(F.col("id").alias("replicate"), total.alias("_k"))
@@ -38,8 +36,8 @@ def block_multiplicity(blocks: DataFrame, block: str, n: int, seed: int) -> Data
         .groupBy("replicate", "_no")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    drawn = draws.join(numbered, "_no").select("replicate", block, "times")
-    itself = numbered.select(
+    drawn = draws.join(known, "_no").select("replicate", block, "times")
+    itself = known.select(
         F.lit(0).cast("long").alias("replicate"), block, F.lit(1).cast("long").alias("times")
     )
     return drawn.unionByName(itself)

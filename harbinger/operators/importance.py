@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from harbinger import fixed_values as V
 from harbinger.operators.metrics import ranking_areas, score_counts
+from harbinger.sources.shared import settle
 
 
 def rank_features(importance: DataFrame, by: str = "importance") -> DataFrame:
@@ -59,34 +60,52 @@ def feature_stability(
     )
 
 
+ROWS_PER_BUCKET = 50_000
+
+
+def successors(base: DataFrame, row_id: Sequence[str], repeats: int, seed: int, buckets: int) -> DataFrame:
+    """``base`` once for each repeat, with the vector ``_other`` of the next row by hash."""
+    ident = F.concat_ws("-", F.lit(str(seed)), F.col("_repeat").cast("string"), *[F.col(c).cast("string") for c in row_id])
+    repeated = base.withColumn("_repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    hashed = repeated.withColumn("_key", F.md5(ident.cast("binary")))
+    place = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
+    hashed = hashed.withColumn("_bucket", F.floor(place * F.lit(buckets) / F.lit(float(1 << 32))).cast("int"))
+    inside = Window.partitionBy("_repeat", "_bucket").orderBy("_key")
+    led = hashed.withColumn("_next", F.lead("_own").over(inside))
+    # one row for each repeat and range
+    firsts = hashed.groupBy("_repeat", "_bucket").agg(F.min_by("_own", "_key").alias("_first"))
+    around = Window.partitionBy("_repeat").orderBy("_bucket")
+    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = F.coalesce(F.lead("_first").over(around), F.first("_first").over(whole))
+    ends = firsts.select("_repeat", "_bucket", after.alias("_after"))
+    joined = led.join(ends, ["_repeat", "_bucket"])
+    return joined.withColumn("_other", F.coalesce("_next", "_after")).drop("_next", "_after", "_key", "_bucket")
+
+
 def permutation_importance(
     score: Callable[[DataFrame], DataFrame], held_out: DataFrame, features: Sequence[str],
     row_id: Sequence[str], label: str = "target_phase3plus", repeats: int = 10, seed: int = 42,
-    strata: int = 8, decimals: int = 5,
+    buckets: int | None = None, decimals: int = 5,
 ) -> DataFrame:
     """Drop in ROC area when one feature is shuffled, for all features in one job.
 
-    In each repeat the rows are put in a hashed order inside hashed strata and every
-    row takes the feature vector of its successor, which permutes each column and
-    needs one shuffle of (own, borrowed) vectors per repeat. Each row then fans out,
-    in place, to one variant per feature with only that entry borrowed. No column is
-    ever sorted or numbered globally, and scores leave the task as counts.
+    In each repeat the rows are put in the order of a hash of their id and every row takes
+    the feature vector of its successor, the last that of the first, which permutes each
+    column over the whole table. The order is cut into ``buckets`` equal ranges of the hash
+    (by default one for about ROWS_PER_BUCKET rows): inside a range the successor is the
+    next row, and the last row of a range takes the first of the next range that has rows.
+    The permutation is therefore the same for any number of buckets. Each row then fans
+    out, in place, to one variant per feature with only that entry borrowed, and scores
+    leave the task as counts.
 
     ``score`` turns a frame with a ``features`` vector into one with ``p``.
     """
     features = list(features)
     values = F.array(*[F.col(c).cast("double") for c in features])
-    base = held_out.select(
-        *row_id, F.col(label).cast("int").alias("y"), values.alias("_own"),
-    )
-    repeated = base.withColumn("_repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    ident = [F.col(c).cast("string") for c in row_id]
-    repeated = repeated.withColumn("_stratum", F.pmod(F.xxhash64(F.lit(seed), *ident), F.lit(strata)))
-    order = F.xxhash64(F.lit(seed), F.col("_repeat"), *ident)
-    w = Window.partitionBy("_repeat", "_stratum").orderBy(order)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    borrowed = F.coalesce(F.lead("_own").over(w), F.first("_own").over(whole))
-    paired = repeated.withColumn("_other", borrowed)
+    base = settle(held_out.select(*row_id, F.col(label).cast("int").alias("y"), values.alias("_own")))
+    if buckets is None:
+        buckets = max(1, -(-base.count() // ROWS_PER_BUCKET))
+    paired = successors(base, row_id, repeats, seed, buckets)
     variants = paired.select(
         "y", "_repeat", "_own", "_other",
         F.posexplode(F.array(*[F.lit(f) for f in features])).alias("_i", "feature"),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from harbinger.operators import baselines as B
 from harbinger.operators import metrics as M
 from harbinger.operators.bootstrap import METRICS, block_bootstrap, block_multiplicity
-from harbinger.operators.importance import feature_stability
+from harbinger.operators.importance import feature_stability, successors
+from harbinger.operators.ranks import numbered
 
 
 def scored(spark, pairs):
@@ -211,3 +212,40 @@ def test_missing_labels_and_scores_are_left_out_everywhere(spark):
     grid = {r["threshold"]: r["false_negatives"] for r in M.threshold_grid(frame).collect()}
     assert grid[0.5] == 1
     assert M.probability_histogram(frame).agg(F.sum("n")).first()[0] == 3
+
+
+def test_numbers_follow_the_order(spark):
+    draw = random.Random(4)
+    values = draw.sample(range(10**6), 5000)
+    frame = spark.createDataFrame([(v,) for v in values], "v long").repartition(13)
+    got = {r.v: r["_no"] for r in numbered(frame, ["v"]).collect()}
+    assert [got[v] for v in sorted(values)] == list(range(1, 5001))
+    assert numbered(frame.limit(0), ["v"]).collect() == []
+
+
+def test_a_million_blocks(spark):
+    blocks = spark.range(1_000_000).select((F.col("id") * 7919 % 1_000_003).alias("block"))
+    times = block_multiplicity(blocks, "block", 1, 3)
+    got = times.groupBy("replicate").agg(F.sum("times").alias("n"), F.count("*").alias("k")).collect()
+    by = {r.replicate: (r.n, r.k) for r in got}
+    assert by[0] == (1_000_000, 1_000_000) and by[1][0] == 1_000_000
+    assert 0.62e6 < by[1][1] < 0.645e6  # about 1 - 1/e of the blocks are drawn
+
+
+def test_shuffles_do_not_depend_on_the_buckets(spark):
+    rows = [(i, [float(i)]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id long, _own array<double>").repartition(5)
+
+    def pairs(buckets):
+        out = successors(frame, ["id"], 2, 9, buckets).collect()
+        return {(r["_repeat"], r["id"]): int(r["_other"][0]) for r in out}
+
+    one = pairs(1)
+    assert one == pairs(8) == pairs(64) == pairs(1000)
+    for repeat in (1, 2):  # one cycle through all rows
+        seen, at = set(), 0
+        while at not in seen:
+            seen.add(at)
+            at = one[repeat, at]
+        assert len(seen) == 300
+    assert one[1, 0] != one[2, 0] or one[1, 1] != one[2, 1]
