@@ -134,32 +134,46 @@ def nearest_units(x: Column, decimals: int) -> Column:
     return size.cast("bigint") * scale + F.shiftright(product + (2**55 - 1) + odd, 56)
 
 
-def fixed_text(c: Column, decimals: int, plus: bool = False, grouped: bool = False) -> Column:
-    """Fixed-point text, NULL when missing; ``plus`` signs every number.
+def _thousands(n: Column) -> Column:
+    """A whole number of 0 or more with a comma before every three digits."""
+    rest = F.lpad((n % 1000).cast("string"), 3, "0")
+    return (
+        F.when(n < 1000, n.cast("string"))
+        .when(n < 1_000_000, F.concat(F.call_function("div", n, F.lit(1000)).cast("string"), F.lit(","), rest))
+        .otherwise(F.format_number(n, 0))
+    )
 
-    ``grouped`` adds thousands commas.
-    """
-    x = _known(c)
-    size = F.abs(x)
-    step = F.lit(Decimal(1).scaleb(-decimals))
-    # from 2**53 on a double is a whole number; up to 2**102 it is put together from two
-    # halves exactly, and beyond that written from its shortest digits
-    low = F.when(size < 2.0**53, size).otherwise(0.0)
-    number = nearest_units(low, decimals).cast("decimal(20,0)") * step
-    text = F.format_number(number, decimals) if grouped else number.cast("string")
+
+def _wide_text(size: Column, decimals: int, grouped: bool) -> Column:
+    """A double from 2**53 on, which is a whole number: exact up to 2**102, put together from
+    two halves, and beyond that from its shortest digits."""
     part = float(2**50)
-    mid = F.when((size >= 2.0**53) & (size < 2.0**102), size).otherwise(0.0)
+    mid = F.when(size < 2.0**102, size).otherwise(0.0)
     high = F.floor(mid / part).cast("bigint")
     whole = high.cast("decimal(19,0)") * F.lit(Decimal(2**50)) + (mid % part).cast("bigint").cast("decimal(19,0)")
     digits = F.format_number(whole, 0) if grouped else whole.cast("decimal(38,0)").cast("string")
     point = "." + "0" * decimals if decimals else ""
     huge = F.format_number(size, decimals)
-    text = (
-        F.when(size == float("inf"), "inf")
-        .when(size < 2.0**53, text)
-        .when(size < 2.0**102, F.concat(digits, F.lit(point)))
-        .otherwise(huge if grouped else F.replace(huge, F.lit(","), F.lit("")))
-    )
+    return F.when(size < 2.0**102, F.concat(digits, F.lit(point))).otherwise(huge if grouped else F.replace(huge, F.lit(","), F.lit("")))
+
+
+def fixed_text(c: Column, decimals: int, plus: bool = False, grouped: bool = False) -> Column:
+    """Fixed-point text, NULL when missing; ``plus`` signs every number.
+
+    ``grouped`` adds thousands commas.
+    """
+    x = _known(c)
+    size = F.abs(x)
+    # below 2**53: whole numbers alone
+    units = nearest_units(F.when(size < 2.0**53, size).otherwise(0.0), decimals)
+    scale = F.lit(10**decimals).cast("bigint")
+    whole = F.call_function("div", units, scale)
+    text = _thousands(whole) if grouped else whole.cast("string")
+    if decimals:
+        text = F.concat(text, F.lit("."), F.lpad((units % scale).cast("string"), decimals, "0"))
+    # the rare large value is written inside a lambda, which stays out of the generated code
+    wide = F.get(F.transform(F.array(size), lambda v: _wide_text(v, decimals, grouped)), F.lit(0))
+    text = F.when(size < 2.0**53, text).when(size == float("inf"), "inf").when(size.isNotNull(), wide)
     return F.concat(F.when(x < 0, "-").otherwise("+" if plus else ""), text)
 
 
