@@ -1,6 +1,8 @@
 import textwrap
 
-from harbinger.llm.licenses import RULES, SENTENCES, scan
+import duckdb
+
+from harbinger.llm.licenses import RULES, SENTENCES, scan, scan_sql
 
 
 def found(spark, *texts):
@@ -31,7 +33,8 @@ def test_texts_notices_and_order(spark):
     assert got == ["MIT", "", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-NC-4.0,MIT", "Apache-2.0", "", "", ""]
 
 
-def test_texts_in_comments_under_title_and_copyright(spark):
+def comment_cases():
+    """(texts, the rule that each must reach): full texts under titles, copyright lines and comment marks."""
     full = [(rule, ids) for rule, _, ids in RULES if rule.endswith("-text")]
     texts, want = [], []
     for rule, ids in full:
@@ -49,6 +52,11 @@ def test_texts_in_comments_under_title_and_copyright(spark):
         for rule, ids in full:
             texts.append("\n#\n".join(textwrap.fill(" ".join(SENTENCES[n].split()), width, initial_indent="# ", subsequent_indent="# ") for n in ids))
             want.append(rule)
+    return texts, want
+
+
+def test_texts_in_comments_under_title_and_copyright(spark):
+    texts, want = comment_cases()
     rows = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     got = {r.doc_id: r.rules.split(",") for r in rows}
     assert [(rule, texts[i]) for i, rule in enumerate(want) if rule not in got[i]] == []
@@ -65,3 +73,20 @@ def test_odd_rows(documents, empty):
     out = scan(documents).collect()
     assert len(out) == documents.count() and {r.licenses for r in out} == {""}
     assert scan(empty).collect() == []
+
+
+def test_equals_sql(spark):
+    """Query and SQL side by side, over comments, titles, copyright lines in a row, and odd texts."""
+    texts, _ = comment_cases()
+    mit = wrapped("mit-grant", "mit-notice", "mit-warranty", "mit-liability")
+    heads = ["MIT License\n\nMIT License\n\nBSD License", "Copyright 2020 A\nCopyright 2021 B\nCopyright 2022 C", "(c) X\nAll rights reserved"]
+    heads += ["copyright notice\nCopyright holder", "copyright  notice", "\u00a9 Foo\r\nThe MIT License (MIT)\r"]
+    texts += [f"{mark}{h}\n{mit}".replace("\n", f"\n{mark}") for h in heads for mark in ("", "# ", " * ", ";; ")]
+    texts += [None, "", "\n\n\n", "# \n#\n", mit.replace("\n", "\r\n")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    expected = con.execute(scan_sql())
+    names = [d[0] for d in expected.description]
+    got = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select(*names)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(expected.fetchall())
