@@ -96,6 +96,15 @@ def contiguity_edges(vertices: DataFrame, decimals: int = 6) -> DataFrame:
     )
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A side of a join that is dealt out by key, never sent whole to driver and tasks.
+
+    Spark's size estimate follows the compressed file and not the rows that sequences
+    and ring points unfold to, so by it a large frame may pass for one to broadcast.
+    """
+    return df.hint("merge")
+
+
 def _cells(df: DataFrame, size: Column, *carried: str) -> DataFrame:
     """Rows with a box (x1, y1, x2, y2) entered under every grid cell the box meets."""
     def span(a: str, b: str) -> Column:
@@ -146,7 +155,7 @@ def polygon_contiguity(boundaries: DataFrame) -> DataFrame:
 
     entered = _cells(segments, size, "name")
     meet = (
-        entered.alias("s").join(entered.alias("t"), ["cx", "cy"])
+        entered.alias("s").join(_dealt(entered).alias("t"), ["cx", "cy"])
         .where((F.col("s.name") < F.col("t.name")) & _segments_meet("s", "t"))
         .select(F.col("s.name").alias("a"), F.col("t.name").alias("b")).distinct()
     )
@@ -159,14 +168,14 @@ def polygon_contiguity(boundaries: DataFrame) -> DataFrame:
     )
     spots = corner.withColumn("cx", F.floor(F.col("px") / size)).withColumn("cy", F.floor(F.col("py") / size))
     covered = (
-        spots.join(_cells(box, size, "name"), ["cx", "cy"])
+        spots.join(_dealt(_cells(box, size, "name")), ["cx", "cy"])
         .where((F.col("inner") != F.col("name")) & F.col("px").between(F.col("x1"), F.col("x2")) & F.col("py").between(F.col("y1"), F.col("y2")))
         .select("inner", "name", "px", "py")
     )
     above = (F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))
     at = F.col("x1") + (F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
     inside = (
-        covered.join(segments, "name").groupBy("inner", "name")
+        covered.join(_dealt(segments), "name").groupBy("inner", "name")
         .agg(F.count_if(above & (F.col("px") < at)).alias("n")).where("n % 2 = 1")
         .select(F.least("inner", "name").alias("a"), F.greatest("inner", "name").alias("b"))
     )

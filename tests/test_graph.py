@@ -158,3 +158,15 @@ def test_regions_that_touch_in_any_way(spark):
     got = {tuple(r) for r in G.polygon_contiguity(frame).collect()}
     assert got == want | {(q, p) for p, q in want}
     assert G.polygon_contiguity(frame.limit(0)).collect() == []
+
+
+def joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Broadcast" in plan, plan.count("SortMergeJoin")
+
+
+def test_regions_are_joined_by_key_whatever_the_estimate(spark):
+    corner = [F.struct((F.col("id") + a).cast("double").alias("lon"), F.lit(b).alias("lat")) for a, b in ((0, 0.0), (1, 0.0), (1, 1.0))]
+    shapes = spark.range(5).select(F.col("id").cast("string").alias("name"), F.array(F.array(*corner)).alias("rings"))
+    assert joins(G.polygon_contiguity(shapes)) == (False, 3)
+    assert rows(G.polygon_contiguity(shapes)) == sorted((str(i), str(j)) for i in range(5) for j in range(5) if abs(i - j) == 1)
