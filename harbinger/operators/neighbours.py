@@ -305,16 +305,16 @@ def nearest_edges(
     sources = gridded
     if origins is not None:
         wanted = sites.join(origins.select("name"), "name", "left_semi").select("x", "y").distinct()
-        sources = gridded.join(wanted, ["x", "y"], "left_semi")
+        sources = gridded.join(_dealt(wanted), ["x", "y"], "left_semi")
     at_level = (
-        sources.join(crowded, ["level", "cx", "cy"])
+        sources.join(_dealt(crowded), ["level", "cx", "cy"])
         .groupBy("x", "y")
         .agg(F.max(F.struct("level", "cx", "cy")).alias("_at"))
         .select(F.col("x").alias("sx"), F.col("y").alias("sy"), "_at.*")
     )
     candidates = (
         spread(at_level, 3)
-        .join(gridded, ["level", "cx", "cy"])
+        .join(_dealt(gridded), ["level", "cx", "cy"])
         .withColumn("dist_km", planar_km(F.col("sx"), F.col("sy"), F.col("x"), F.col("y")))
         .select("sx", "sy", "dist_km", F.explode("names").alias("name"))
     )
@@ -328,7 +328,7 @@ def nearest_edges(
     start = sites if origins is None else sites.join(origins.select("name"), "name", "left_semi")
     picked = F.slice(F.filter("listed", lambda c: c["name"] != F.col("name")), 1, k)
     return (
-        start.join(listed, ["x", "y"])
+        start.join(_dealt(listed), ["x", "y"])
         .select(F.col("name").alias("src"), F.posexplode(picked).alias("_pos", "_to"))
         .select(
             "src",

@@ -165,6 +165,16 @@ def joins(df):
     return "Broadcast" in plan, plan.count("SortMergeJoin")
 
 
+def test_nearest_sites_are_joined_by_key_whatever_the_estimate(spark):
+    """A file of a few MB unfolds to millions of cells, which must not pass the driver."""
+    sites = spark.range(50).select(
+        F.concat(F.lit("s"), "id").alias("name"), F.col("id").cast("double").alias("x"), (F.col("id") * 7 % 11).cast("double").alias("y")
+    )
+    assert joins(G.nearest_edges(sites, 2)) == (False, 3)
+    got = rows(G.nearest_edges(sites, 2).select("src", "dst"))
+    assert got == brute([tuple(r) for r in sites.collect()], 2)
+
+
 def test_regions_are_joined_by_key_whatever_the_estimate(spark):
     corner = [F.struct((F.col("id") + a).cast("double").alias("lon"), F.lit(b).alias("lat")) for a, b in ((0, 0.0), (1, 0.0), (1, 1.0))]
     shapes = spark.range(5).select(F.col("id").cast("string").alias("name"), F.array(F.array(*corner)).alias("rings"))
