@@ -26,8 +26,10 @@ documents per label, those of lowest hash; every document is scored whole.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,6 +50,8 @@ TOP, WORST = 3, 8
 ROUNDS = 2
 DECAY, SPAN, WIDTH, POWER, FAINT = 0.7, 6, 20, 3, 0.03
 CACHE_UNITS = 300_000
+# characters of texts whose words are looked up together
+GROUP_CHARS = 1_000_000
 SYMBOLS = 64
 START, END = "\x02", "\x03"
 OUTER = " \t.,;:!?\"'()[]{}<>|*$%&#_-/\\~`^+="
@@ -119,16 +123,19 @@ def _codes(units: list[str], length: int) -> np.ndarray:
     return np.where((points >= 48) & (points <= 57), points - 48 + 27, out)
 
 
-def _triples(codes: np.ndarray):
-    """(code of the triple, weight) for every start and gap, as columns over the units."""
-    length = codes.shape[1]
-    for j, k in GAPS:
-        if k < length:
-            n = length - k
-            yield (
-                (codes[:, :n] * SYMBOLS + codes[:, j : j + n]) * SYMBOLS + codes[:, k:],
-                DECAY ** (k + 1),
-            )
+@cache
+def _places(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the three characters and weight, for every gap and start in a unit."""
+    gaps = [(j, k, i) for j, k in GAPS for i in range(length - k)]
+    j, k, i = np.array(gaps).reshape(-1, 3).T
+    return i, i + j, i + k, DECAY ** (k + 1.0)
+
+
+def _triples(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of the triples, a row for each gap and start and a column for each unit; weights of the rows)."""
+    one, two, three, weight = _places(codes.shape[1])
+    turned = np.ascontiguousarray(codes.T, np.int32)
+    return (turned[one] * SYMBOLS + turned[two]) * SYMBOLS + turned[three], weight
 
 
 class Kernel:
@@ -140,9 +147,9 @@ class Kernel:
         for at, mark in enumerate(landmarks):
             mine: dict[int, float] = {}
             if len(mark) >= 3:
-                for codes, weight in _triples(_codes([mark], len(mark))):
-                    for c in codes[0].tolist():
-                        mine[c] = mine.get(c, 0.0) + weight
+                codes, weights = _triples(_codes([mark], len(mark)))
+                for c, weight in zip(codes[:, 0].tolist(), weights.tolist(), strict=True):
+                    mine[c] = mine.get(c, 0.0) + weight
             norm = np.sqrt(sum(v * v for v in mine.values())) or 1.0
             for c, v in mine.items():
                 found.setdefault(c, []).append((at, v / norm))
@@ -166,24 +173,22 @@ class Kernel:
                 continue
             at = np.flatnonzero(lengths == length)
             codes = _codes([units[i] for i in at], int(length))
-            all_codes, all_weights = [], []
-            for triple, weight in _triples(codes):
-                all_codes.append(triple)
-                all_weights.append(np.full(triple.shape[1], weight))
-            triple, weight = np.concatenate(all_codes, 1), np.concatenate(all_weights)
-            row = self.place[triple]
-            who, col = np.nonzero(row < len(self.ends) - 2)
-            if not len(who):
+            triple, weight = _triples(codes)
+            row = self.place[triple.ravel()]
+            found = np.flatnonzero(row < len(self.ends) - 2)
+            if not len(found):
                 continue
-            row = row[who, col]
+            row, col, who = row[found], found // len(at), found % len(at)
             many = self.ends[row + 1] - self.ends[row]
             line = np.repeat(self.ends[row] - np.cumsum(many) + many, many) + np.arange(many.sum())
             cell = np.repeat(who, many) * self.m + self.mark[line]
             value = np.repeat(weight[col], many) * self.weight[line]
             kernel = np.bincount(cell, value, len(at) * self.m).reshape(len(at), self.m)
-            hit = np.unique(who)
+            # a unit's norm is least if no two of its triples are equal: what is faint by that norm stays faint
+            least = np.sqrt((weight**2).sum())
+            near = np.flatnonzero(kernel.max(1) >= (1 - 1e-6) * FAINT ** (1 / POWER) * least)
             # own norm: equal triples of a unit are summed before squaring
-            own = triple[hit]
+            own = triple.T[near]
             order = np.argsort(own, 1, kind="stable")
             own = np.take_along_axis(own, order, 1)
             w = weight[order]
@@ -192,9 +197,8 @@ class Kernel:
             held = np.where(ends, total, 0.0)
             before = np.maximum.accumulate(np.concatenate([np.zeros((len(own), 1)), held[:, :-1]], 1), 1)
             square = (np.where(ends, total - before, 0.0) ** 2).sum(1)
-            kernel[hit] /= np.sqrt(square)[:, None]
-            kernel = np.minimum(kernel, 1) ** POWER
-            out[at] = np.where(kernel < FAINT, 0, kernel)
+            value = np.minimum(kernel[near] / np.sqrt(square)[:, None], 1) ** POWER
+            out[at[near]] = np.where(value < FAINT, 0, value)
         return out
 
 
@@ -216,6 +220,7 @@ class Reader:
     def reset(self) -> None:
         self.rows = np.zeros((1024, self.kernel.m), np.float32)
         self.used = 1  # row 0 is that of every word unlike all landmarks
+        # by word: four times its row, plus 2 for a single character, plus 1 at a sentence's end
         self.ids: dict[str, int] = {}
 
     def _learn(self, words: list[str]) -> None:
@@ -226,10 +231,13 @@ class Reader:
                 owner.append(at)
         values = np.zeros((len(words), self.kernel.m), np.float32)
         if units:
-            np.maximum.at(values, np.array(owner), self.kernel.values(units))
+            own = np.array(owner)
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            values[own[first]] = np.maximum.reduceat(self.kernel.values(units), first, 0)
         alike = values.any(1)
         place = np.where(alike, self.used - 1 + np.cumsum(alike), 0)
-        self.ids.update(zip(words, place.tolist(), strict=True))
+        marks = [2 * (len(w.strip(OUTER)) == 1) + (w[-1] in ".!?") for w in words]
+        self.ids.update(zip(words, (4 * place + np.array(marks, np.int64)).tolist(), strict=True))
         need = self.used + int(alike.sum())
         if need > len(self.rows):
             more = np.zeros((max(need, 2 * len(self.rows)), self.kernel.m), np.float32)
@@ -238,29 +246,69 @@ class Reader:
         self.rows[self.used : need] = values[alike]
         self.used = need
 
-    def read(self, text: str | None) -> np.ndarray:
-        """One row of best kernel values for each sentence."""
-        found = [s for s in sentences_of(text) if s]
-        out = np.zeros((len(found), self.kernel.m), np.float32)
-        if not found:
-            return out
+    def _learn_new(self, words: set[str]) -> None:
+        new = list(words.difference(self.ids))
+        for i in range(0, len(new), 8192):
+            self._learn(new[i : i + 8192])
+
+    def read_all(self, parts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """For each text one row of best kernel values for each sentence.
+
+        Sentences are those of ``sentences_of``. New words of GROUP_CHARS characters of
+        texts, or of one longer text, are learned together.
+        """
+        group, size = [], 0
+        for text in parts:
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= GROUP_CHARS:
+                yield from self._read(group)
+                group, size = [], 0
+        yield from self._read(group)
+
+    def _read(self, group: list[str]) -> Iterator[np.ndarray]:
         if len(self.ids) > CACHE_UNITS:
             self.reset()
-        words = [w for s in found for w in s]
-        new = set(words).difference(self.ids)
-        for part in (list(new)[i : i + 8192] for i in range(0, len(new), 8192)):
-            self._learn(part)
-        spots = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        lines = [[line.split() for line in text.lower().split("\n")] for text in group]
+        words = [list(chain.from_iterable(x)) for x in lines]
+        self._learn_new(set().union(*words))
+        spots, sentence, spelled = [], [], []
+        for x, mine in zip(lines, words, strict=True):
+            spot = np.fromiter(map(self.ids.__getitem__, mine), np.int64, len(mine))
+            first = np.zeros(len(mine) + 1, np.int64)
+            first[np.cumsum([0, *map(len, x)])] = 1
+            first[1:] |= spot & 1
+            spots.append(spot)
+            sentence.append(np.cumsum(first[:-1]) - 1)
+            spelled.append(self._spelled(mine, spot, sentence[-1]))
+        self._learn_new({w for x, _ in spelled for w in x})
+        for spot, own, (joined, joined_own) in zip(spots, sentence, spelled, strict=True):
+            out = np.zeros((int(own[-1]) + 1 if len(own) else 0, self.kernel.m), np.float32)
+            self._raise(out, spot >> 2, own)
+            if joined:
+                self._raise(out, np.fromiter(map(self.ids.__getitem__, joined), np.int64, len(joined)) >> 2, joined_own)
+            yield out
+
+    def _spelled(self, words: list[str], spot: np.ndarray, sentence: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Words joined of single characters in a row, and their sentences."""
+        single = np.flatnonzero(spot & 2)
+        if not len(single):
+            return [], single
+        own = sentence[single]
+        first = np.flatnonzero((np.diff(single, prepend=-2) != 1) | (np.diff(own, prepend=-1) != 0))
+        letters = [words[i].strip(OUTER) for i in single.tolist()]
+        ends = [*first[1:].tolist(), len(letters)]
+        return ["".join(letters[a:b]) for a, b in zip(first.tolist(), ends, strict=True)], own[first]
+
+    def _raise(self, out: np.ndarray, spots: np.ndarray, sentence: np.ndarray) -> None:
+        """Raise each sentence's row to the best of its words."""
         at = np.flatnonzero(spots)
-        if len(at):
-            sentence = np.repeat(np.arange(len(found)), [len(s) for s in found])[at]
-            for i in range(0, len(at), 20_000):  # so many words at a time, however long the text
-                part, own = at[i : i + 20_000], sentence[i : i + 20_000]
-                first = np.flatnonzero(np.diff(own, prepend=-1))
-                best = np.maximum.reduceat(self.rows[spots[part]], first, 0)
-                np.maximum(out[own[first]], best, out=best)
-                out[own[first]] = best
-        return out
+        spots, sentence = spots[at], sentence[at]
+        for i in range(0, len(at), 20_000):  # so many words at a time, however long the text
+            part, own = spots[i : i + 20_000], sentence[i : i + 20_000]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            best = np.maximum.reduceat(self.rows[part], first, 0)
+            out[own[first]] = np.maximum(out[own[first]], best)
 
 
 def _sample(rows: DataFrame, label: str, most: int) -> DataFrame:
@@ -333,8 +381,8 @@ def sentence_vectors(rows: DataFrame, landmarks: list[str], marked: int, label:
         plain, bent = Reader(landmarks), Reader(landmarks, stretch)
         for batch in batches:
             ids, ys, at, worst, xs, zs = [], [], [], [], [], []
-            for i, y, text in zip(batch.column("doc_id"), batch.column("y"), texts(batch), strict=True):
-                x = plain.read(text)
+            read = zip(plain.read_all(texts(batch)), bent.read_all(texts(batch)), strict=True)
+            for i, y, (x, z) in zip(batch.column("doc_id"), batch.column("y"), read, strict=True):
                 if not len(x):
                     continue
                 value = x[:, :marked].max(1)
@@ -344,7 +392,7 @@ def sentence_vectors(rows: DataFrame, landmarks: list[str], marked: int, label:
                 at.extend(first.tolist())
                 worst.extend(value[first].astype(float).tolist())
                 xs.append((x @ root)[first])
-                zs.append((bent.read(text) @ root)[first])
+                zs.append((z @ root)[first])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
@@ -427,8 +475,7 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
         reader = Reader(marks) if marks else None
         for part in parts:
             out = []
-            for text in part:
-                rows = reader.read(text) if reader else ()
+            for rows in reader.read_all(part) if reader else [()] * len(part):
                 margins = rows @ direction + model.intercept if len(rows) else np.empty(0)
                 z = float(document_features(margins, model.intercept) @ curve) + model.shift
                 out.append(1.0 / (1.0 + float(np.exp(-np.clip(z, -500, 500)))))

@@ -41,6 +41,29 @@ def test_units_cover_long_words():
     assert toxicity.sentences_of("a b c. de\n\nf") == [["a", "b", "c.", "abc"], ["de"], ["f", "f"]]
 
 
+def test_texts_are_read_together_as_each_alone(monkeypatch):
+    """Few kernel calls for many texts, and for each sentence the best values of its words."""
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdx", k=draw.randint(1, 9))) + draw.choice(["", "", ".", "!", ",", "-"]) for _ in range(300)]
+    words += ["a", "b.", "(c)", "--", "x,", "\u00e9", "Z"] * 20
+    parts = ["".join(w + draw.choice([" ", " ", "\n", " \t"]) for w in draw.choices(words, k=draw.randint(1, 60))) for _ in range(40)]
+    parts += [None, "", " \n ", "a", "a b\nc d", "a. b c", "x y z. alpha", "a -- b"]
+    marks = [toxicity.units_of(w)[0] for w in ("abcd", "ccab", "xabc", "bca")]
+    kernel, calls = toxicity.Kernel(marks), []
+    want = []
+    for text in parts:
+        units = [[u for w in s for u in toxicity.units_of(w)] for s in toxicity.sentences_of(text) if s]
+        want.append([kernel.values(s).max(0) if s else np.zeros(len(marks)) for s in units])
+    values = toxicity.Kernel.values
+    monkeypatch.setattr(toxicity.Kernel, "values", lambda self, units: calls.append(len(units)) or values(self, units))
+    for size in (toxicity.GROUP_CHARS, 200):
+        calls.clear()
+        monkeypatch.setattr(toxicity, "GROUP_CHARS", size)
+        got = list(toxicity.Reader(marks).read_all(parts))
+        assert len(got) == len(want) and all(len(g) == len(w) and np.array_equal(g, np.array(w).reshape(g.shape)) for g, w in zip(got, want, strict=True))
+        assert size == 200 or len(calls) <= 2
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     draw = random.Random(6)
