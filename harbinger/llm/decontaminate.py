@@ -23,6 +23,7 @@ from functools import cached_property, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -200,22 +201,20 @@ class TermIds(dict):
 
     def __init__(self, terms: np.ndarray):
         super().__init__()
-        self.terms, self.words = terms, WordHashes()
-
-    def __missing__(self, raw: bytes) -> int:
-        word = raw.strip(EDGES)
-        value = -2
-        if word:
-            h = np.uint64(self.words[word])
-            k = int(np.searchsorted(self.terms, h))
-            value = k if k < len(self.terms) and self.terms[k] == h else -1
-        self[raw] = value
-        return value
+        self.terms = terms
 
     def of(self, raw: list[bytes]) -> np.ndarray:
         if len(self) > CACHE_WORDS:
             self.clear()
-            self.words.clear()
+        new = [w for w in set(raw) if w not in self]
+        if new:
+            # all new words of a text are looked up at once
+            bare = [w.strip(EDGES) for w in new]
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, bare), np.uint64, len(bare))
+            k = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
+            value = np.where(self.terms[k] == h, k, -1)
+            value[[not w for w in bare]] = -2
+            self.update(zip(new, value.tolist(), strict=True))
         return np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
 
 

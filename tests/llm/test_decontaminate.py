@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 
-from harbinger.llm.common import byte_words
+from harbinger.llm.common import WordHashes, byte_words
 from harbinger.llm.decontaminate import (
+    EDGES,
     SHARE,
     TermIds,
     block_max_wand,
@@ -58,6 +59,19 @@ def test_finds_planted_items_only(spark):
     assert found == {(d, d % 37) for d, _ in docs if d % 4 == 0}
 
 
+def test_new_words_of_a_text_are_looked_up_at_once(spark, monkeypatch):
+    items, docs, table = make(spark)
+    (index,) = build_index(table)
+    raw = [b"w1", b"(w2)", b"--", b"", b"w1", b"no-such-word", b"the.", *byte_words(docs[0][1], lower=True)]
+    calls, search, hashes = [], np.searchsorted, WordHashes()
+    terms = [int(t) for t in index.terms]
+    want = [terms.index(hashes[b]) if hashes[b] in terms else -1 if b else -2 for b in (w.strip(EDGES) for w in raw)]
+    monkeypatch.setattr(np, "searchsorted", lambda *a: calls.append(1) or search(*a))
+    numbers = TermIds(index.terms)
+    assert numbers.of(raw).tolist() == want and numbers.of(raw).tolist() == want and numbers.of([]).tolist() == []
+    assert len(calls) == 1
+
+
 def searched(spark, items, docs, theta):
     """(found by way of promising windows, found by scoring every window against every item)."""
     (index,) = build_index(spark.createDataFrame(items, "item_id long, text string"))
