@@ -405,7 +405,9 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     def text_key(part: pd.Series) -> pd.Series:
         return pd.Series([_text_key(t) for t in part], dtype=object)
 
-    met = marked.where("_hit and _id is not null").withColumn("_text", text_key(F.col("_row.text").cast("string")))
+    # a join asks for keys that are not null; the text must not be hashed again for that, by a second worker
+    once = text_key.asNondeterministic()
+    met = marked.where("_hit and _id is not null").withColumn("_text", once(F.col("_row.text").cast("string")))
     named = with_hits(each.where("_kept").select("_id", "_text"), "_id", odd).where("_hit").drop("_hit")
     stays = met.join(named, ["_id", "_text"])
     return free.union(stays.dropDuplicates(["_id", "_text"]).select("_row.*"))

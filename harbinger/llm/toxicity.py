@@ -50,6 +50,8 @@ TOP, WORST = 3, 8
 ROUNDS = 2
 DECAY, SPAN, WIDTH, POWER, FAINT = 0.7, 6, 20, 3, 0.03
 CACHE_UNITS = 300_000
+# units whose triples are held at once
+TOGETHER = 1024
 # characters of texts whose words are looked up together
 GROUP_CHARS = 1_000_000
 SYMBOLS = 64
@@ -162,7 +164,7 @@ class Kernel:
         self.weight = np.array([p[1] for p in pairs], np.float64)
 
     def values(self, units: list[str]) -> np.ndarray:
-        parts = [self._values(units[i : i + 8192]) for i in range(0, len(units), 8192)]
+        parts = [self._values(units[i : i + TOGETHER]) for i in range(0, len(units), TOGETHER)]
         return np.concatenate(parts) if parts else np.zeros((0, self.m), np.float32)
 
     def _values(self, units: list[str]) -> np.ndarray:

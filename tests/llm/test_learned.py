@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -34,6 +35,19 @@ def test_kernel_equals_enumeration():
     assert np.allclose(got, want, atol=1e-5)
 
 
+def test_kernel_holds_few_units_at_once():
+    draw = random.Random(2)
+    units = ["".join(draw.choices("abcdefgh", k=20)) for _ in range(8192)]
+    read = toxicity.Kernel(units[:128])
+    tracemalloc.start()
+    values = read.values(units)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6
+    some = random.Random(3).sample(range(len(units)), 50)
+    assert np.array_equal(values[some], np.concatenate([read.values([units[i]]) for i in some]))
+
+
 def test_units_cover_long_words():
     word = "".join(random.Random(2).choices("abcdef", k=95))
     units = toxicity.units_of(word)

@@ -106,3 +106,12 @@ def test_rows_that_share_an_id(spark):
     frame = spark.createDataFrame([(5, b), (5, near_b), (6, "short text")], "doc_id long, text string")
     left = sorted((r.doc_id, r.text) for r in drop_near_duplicates(frame).collect())
     assert [i for i, _ in left] == [5, 6]
+
+
+def test_each_text_is_hashed_once(spark):
+    """A second evaluation needs a second Python worker for each task, which then stays."""
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "other words are said here"), (None, "a b")]
+    kept = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1, plan
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3]
