@@ -113,10 +113,14 @@ def with_hits(df: DataFrame, column: str, bitmap: DataFrame, bits: int = FILTER_
 ROWS_PER_FILE = 500_000
 
 
-def settle_small(df: DataFrame) -> DataFrame:
-    """Settle a frame of narrow rows in as many files as its rows need, after a count."""
+def parts_for(rows: int, each: int = ROWS_PER_FILE) -> int:
+    return max(1, -(-rows // each))
+
+
+def settle_small(df: DataFrame, each: int = ROWS_PER_FILE) -> DataFrame:
+    """Settle a frame of narrow rows; it is read by as many tasks as its rows need, after a count."""
     kept = settle(df)
-    return kept.coalesce(max(1, -(-kept.count() // ROWS_PER_FILE)))
+    return kept.coalesce(parts_for(kept.count(), each))
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -125,20 +129,26 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Alternating large and small stars: edges are only re-hung, never multiplied, each
     round is two aggregations with map-side combine, and a node with very many edges is
     met by joins that adaptive execution can split. It ends when every tree is a star.
+    The edges are counted once: a round has no more tasks than they need, however many
+    shuffle partitions there are, since the driver keeps a record of every task.
     """
     lo, hi = F.least(a, b), F.greatest(a, b)
-    now = settle_small(edges.where(F.col(a) != F.col(b)).select(hi.alias("u"), lo.alias("v")).distinct())
+    now = settle(edges.where(F.col(a) != F.col(b)).select(hi.alias("u"), lo.alias("v")).distinct())
+    parts = parts_for(now.count())
+    now = now.coalesce(parts)
     while True:
         ends = now.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down"))
-        ends = ends.union(now.select("v", F.lit(0), F.lit(1))).groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        ends = ends.union(now.select("v", F.lit(0), F.lit(1))).coalesce(parts)
+        ends = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).coalesce(parts)
         if ends.where("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = settle_small(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        hung = small.union(low.select("u", F.col("m").alias("v"))).coalesce(parts)
+        now = settle(hung.distinct().coalesce(parts)).coalesce(parts)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
 
 

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from harbinger.llm.common import CACHE_WORDS, WordHashes, bound_batches, byte_words, rolling, settle, texts
+from harbinger.llm.common import CACHE_WORDS, WordHashes, bound_batches, byte_words, rolling, settle, settle_small, texts
 
 SHARE = 0.5
 QUESTION_SHARE, ANSWER_SHARE = 0.5, 0.6
@@ -38,6 +38,7 @@ LEAST_SPAN = 32
 BLOCK = 4
 COMMON_SHARE = 0.1
 SHARD_POSTINGS = 2_000_000
+ITEMS_PER_TASK = 10_000
 EDGES = b".,;:!?\"'()[]{}<>|*$%&#_-/\\"
 
 MATCH = "array<struct<item_id:long,share:double,bm25:double,question:double,answer:double,start:long>>"
@@ -113,8 +114,10 @@ def build_index(items: DataFrame) -> list[Index]:
     bound_batches(items.sparkSession)
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     # numbers are given once, in a settled frame
-    rows = settle(rows.distinct().orderBy("item_id", "text").withColumn("number", F.monotonically_increasing_id()))
-    postings = settle(_postings(rows))
+    rows = settle_small(
+        rows.distinct().orderBy("item_id", "text").withColumn("number", F.monotonically_increasing_id()), ITEMS_PER_TASK
+    )
+    postings = settle_small(_postings(rows))
     size = postings.select("number", "words").distinct().agg(
         F.count("*").alias("n"), F.avg("words").alias("avg"), F.max("words").alias("longest")
     ).first()

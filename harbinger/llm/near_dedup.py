@@ -332,7 +332,7 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
             "node", F.monotonically_increasing_id()
         )
     )
-    shared = settle(_shared_keys(classes))
+    shared = settle_small(_shared_keys(classes))
 
     met_ones = classes.join(shared.select("node").distinct(), "node").select("node", "doc_id", "set_key")
     sets = settle(_sets(docs, settle(met_ones), k))
@@ -388,7 +388,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     text. Only rows whose id may be that of a dropped or repeated document are moved. Rows
     without an id cannot be named by a link and stay.
     """
-    linked = settle(_linked(docs, k, percent).where(F.col("doc_id").isNotNull()))
+    linked = settle_small(_linked(docs, k, percent).where(F.col("doc_id").isNotNull()))
     one = F.struct("doc_id", "text_key")
     # texts without shingles are groups of their own
     firsts = linked.where("comp IS NOT NULL").groupBy("comp").agg(F.min(one).alias("_first"))

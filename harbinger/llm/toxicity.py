@@ -44,6 +44,8 @@ from harbinger.llm.common import bound_batches, settle, texts
 TRAIN_ROWS = 4000
 # the sample is bounded, so are the tasks of each step of a fit
 FIT_PARTS = 12
+# a step over so few vectors costs less than its tasks, of which the driver keeps a record
+STEP_PARTS = 4
 MARKED, COMMON, CONSIDERED, ALIKE = 120, 8, 600, 0.8
 LEAST_DOCS, LEAST_Z = 4, 5.0
 TOP, WORST = 3, 8
@@ -435,7 +437,7 @@ def fit(train: DataFrame, label: str = "toxic") -> ToxicModel:
         top = ranked.where(F.col("_n") <= TOP)
         points = top.select("y", F.explode(F.array("x", "z")).alias("x"))
         points = points.select("y", array_to_vector(F.col("x").cast("array<double>")).alias("features"))
-        points = settle(points).coalesce(FIT_PARTS)
+        points = settle(points.coalesce(STEP_PARTS))
         svm = LinearSVC(labelCol="y", maxIter=60, tol=1e-4, regParam=1e-4, standardization=False).fit(points)
         w = [float(v) for v in svm.coefficients.toArray()]
         rank = _margin("x", w, float(svm.intercept))
@@ -447,7 +449,7 @@ def fit(train: DataFrame, label: str = "toxic") -> ToxicModel:
     excess = F.log1p(F.sum(F.greatest(F.col("m") + 1, F.lit(0.0))))
     best = tops.groupBy("doc_id", "y").agg(F.array(*each, excess).alias("f"))
     curve = LogisticRegression(labelCol="y", maxIter=60, tol=1e-5, regParam=1e-4).fit(
-        settle(best.select("y", array_to_vector("f").alias("features"))).coalesce(FIT_PARTS)
+        settle(best.select("y", array_to_vector("f").alias("features")).coalesce(STEP_PARTS))
     )
     return ToxicModel(marks, w, floor, [float(v) for v in curve.coefficients.toArray()], float(curve.intercept))
 

@@ -1,4 +1,5 @@
 import random
+from contextlib import contextmanager
 from itertools import combinations
 
 from harbinger.llm.common import components
@@ -115,3 +116,53 @@ def test_each_text_is_hashed_once(spark):
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1, plan
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3]
+
+
+@contextmanager
+def many_partitions(spark, n):
+    wanted = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def tasks_of(spark, group, work):
+    """What ``work`` returns, and the tasks it ran."""
+    context = spark.sparkContext
+    context.setJobGroup(group, group)
+    try:
+        out = work()
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    status = context.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds}
+    return out, sum(i.numCompletedTasks for i in map(status.getStageInfo, stages) if i)
+
+
+def test_rounds_of_components_have_the_tasks_their_edges_need(spark):
+    # the driver keeps a record of every task: few edges must not cost a task for each shuffle partition in each round
+    rows = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (2, 1)]
+    edges = spark.createDataFrame(rows, "a long, b long").coalesce(1)
+    with many_partitions(spark, 50):
+        got, tasks = tasks_of(spark, "components", lambda: {tuple(r) for r in components(edges, "a", "b").collect()})
+    assert got == {(i, 0) for i in range(61)} | {(100 + i, 100) for i in range(40)}
+    assert tasks < 10 * 50
+
+
+def test_components_of_more_edges_than_a_task_takes(spark, monkeypatch):
+    monkeypatch.setattr("harbinger.llm.common.parts_for", lambda rows, each=20: max(1, -(-rows // 20)))
+    draw = random.Random(3)
+    rows = [(draw.randrange(200), draw.randrange(200)) for _ in range(150)]
+    root = list(range(200))
+    for _ in range(200):
+        for a, b in rows:
+            root[a] = root[b] = min(root[a], root[b])
+    ends = {x for a, b in rows if a != b for x in (a, b)}
+    got = components(spark.createDataFrame(rows, "a long, b long"), "a", "b")
+    assert {tuple(r) for r in got.collect()} == {(x, root[x]) for x in ends}
